@@ -1 +1 @@
-
+"""Operators for training data. Nothing outside this package imports it."""
