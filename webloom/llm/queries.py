@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import leakage, mixing, neardup
+from . import leakage, mixing, neardup, residue
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(load(spark, d, "page"), load(spark, d, "capture"))
+
+
 _P4_SQL = r"""
 WITH one AS (SELECT page_id, any_value(text_main) t FROM page GROUP BY page_id),
 w AS (SELECT page_id, regexp_extract_all(lower(t), '[a-z0-9][a-z0-9''\-]*') ws FROM one WHERE t IS NOT NULL),
