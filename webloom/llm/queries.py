@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import leakage, mixing, neardup, residue
+from . import leakage, mixing, neardup, residue, stuffing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(load(spark, d, "page"), load(spark, d, "capture"))
 
 
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(load(spark, d, "page")).select("page_id")
+
+
+@query("p3_shares")
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(load(spark, d, "page")).select("page_id", F.round("stuffed_share", 6).alias("stuffed_share"))
+
+
 _P4_SQL = r"""
 WITH one AS (SELECT page_id, any_value(text_main) t FROM page GROUP BY page_id),
 w AS (SELECT page_id, regexp_extract_all(lower(t), '[a-z0-9][a-z0-9''\-]*') ws FROM one WHERE t IS NOT NULL),
