@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import leakage, mixing, neardup, residue, stuffing
+from . import leakage, mixing, neardup, residue, sentences, stuffing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,13 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_selected")
 def p9_selected(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(load(spark, d, "documents"), load(spark, d, "mix_target"))[0]
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(load(spark, d, "documents")).select("doc_id", "sent_end").distinct()
+
+
+@query("p10_units")
+def p10_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(load(spark, d, "documents"))
