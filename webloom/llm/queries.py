@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import leakage, mixing, neardup, residue, sentences, stuffing
+from . import boilerplate, leakage, mixing, neardup, residue, sentences, stuffing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,6 +67,17 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, d, "page"))[1]
 
 
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(load(spark, d, "page"))
+
+
+@query("p5_body")
+def p5_body(spark: SparkSession, d: str) -> DataFrame:
+    page = load(spark, d, "page")
+    return boilerplate.main_body(page, boilerplate.boilerplate_lines(page))
+
+
 _P8_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') w FROM documents WHERE text <> ''),
 iw AS (SELECT item_id, regexp_extract_all(strip_accents(lower(item_text)), '[\p{L}\p{N}]+') w FROM eval_item),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,10 +93,13 @@ PLACEHOLDER = regex.compile(
       |(?<=\b(?:Dear|Hello|Hi|Welcome\ to|Only|Call|Published\ on)\ )(?:null|None)\b""",
     regex.X,
 )
+# What any of them contains; texts without it, nearly all, are settled by one plain search.
+_HINT = re.compile(r"[{}<\[%#]|__|@|undefined|NaN|null|None")
 # Prose that uses "undefined" as a word of its own.
 _PLAIN_UNDEFINED = regex.compile(r"\bundefined\s+(?:behaviou?rs?|terms?|references?|variables?|functions?|values?|symbols?|states?)\b")
 _QUOTES = "\"'`“”„«»‘’"
 _TERM = regex.compile(r"\p{L}+(?:['’]\p{L}+)?")
+_PLAIN = re.compile(r"[a-z]+(?:'[a-z]+)?")
 _WINDOW = regex.compile(r"\n|(?<=[.!?…])[\"”»’)]*\s+")
 _DROP = regex.compile(r"(?is)<(script|style|title|template|svg|nav|footer|aside)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
 _TAG = regex.compile(r"(?s)<[^>]*(?:>|\Z)")
@@ -103,7 +107,8 @@ _NAVISH = regex.compile(r"^(?:[^.!?]{1,40}\s[·|/•»>▾]\s?){2,}|^\s*(?:©|\(
 
 
 def terms(text: str) -> list[str]:
-    return _TERM.findall(text.lower())
+    low = text.lower()
+    return _PLAIN.findall(low) if low.isascii() else _TERM.findall(low)
 
 
 def vocabulary() -> list[str]:
@@ -159,6 +164,8 @@ class Index:
 
 def is_placeholder(index: Index, text: str) -> bool:
     """At least one placeholder stands where a value should."""
+    if not _HINT.search(text):
+        return False
     for m in PLACEHOLDER.finditer(text):
         a, b = m.span()
         if text[a - 1 : a] in _QUOTES and a and text[b : b + 1] and text[b : b + 1] in _QUOTES:
@@ -179,10 +186,23 @@ def is_residue(index: Index, text: str) -> bool:
     """The words shown are residue: an unfilled placeholder, or mostly windows that exemplars cover."""
     if is_placeholder(index, text):
         return True
+    lines = [x for x in text.split("\n") if x and not (len(x) < 200 and _NAVISH.search(x))]
+    # Windows are cases only where exemplar terms make up WINDOW_COVER of them: without enough such terms no window
+    # needs to be looked at.
+    idf, other = index.idf, index.other
+    seen = total = 0.0
+    for line in lines:
+        for t in terms(line):
+            w = idf.get(t)
+            if w is None:
+                total += other
+            else:
+                seen += w
+                total += w
+    if seen < WINDOW_COVER * PAGE_COVER * total:
+        return False
     total = inside = 0.0
-    for line in text.split("\n"):
-        if _NAVISH.search(line):
-            continue
+    for line in lines:
         for w in _WINDOW.split(line):
             if not w or w.isspace():
                 continue

@@ -11,7 +11,9 @@ against the notation of tags.
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,9 +36,10 @@ PAGE_SHARE = 0.5
 #: Usual ratio before anything is counted: A + B * log2(bytes); it weighs as much as PRIOR_BLOCKS blocks.
 A, B, PRIOR_BLOCKS = 0.30, 0.155, 30
 
-_END = regex.compile(r"[.!?…](?=[\"”»’)\]]*(?:\s|$))|[。！？।؟]")
+_END = re.compile(r"[.!?…](?=[\"”»’)\]]*(?:\s|$))|[。！？।؟]")
 _TOKEN = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}\p{Thai}]{1,4}|[\p{L}\p{N}][\p{L}\p{N}\p{M}'’_:\-]*")
-_TAG = regex.compile(r"^(?:#\S+|tag:\S+|[A-Z]{2,5}-\d{3,}|\w+[_]\w+)$", regex.I)
+_PLAIN = re.compile(r"[a-z0-9][a-z0-9'_:\-]*")
+_TAG = re.compile(r"#\S+$|tag:\S+$|[A-Z]{2,5}-\d{3,}$|\w+[_]\w+$", re.I)
 # Frequent function words by which a block's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and a in to is for with was on that by from it at",
@@ -55,6 +58,11 @@ _SCRIPTS = [
 ]
 
 
+def tokens(low: str) -> list[str]:
+    """Words of a lower-cased text; in scripts without blanks, short pieces."""
+    return _PLAIN.findall(low) if low.isascii() else _TOKEN.findall(low)
+
+
 def guess_language(text: str, ws: list[str]) -> str:
     if not text.isascii():
         letters = len(regex.findall(r"\p{L}", text)) or 1
@@ -62,8 +70,9 @@ def guess_language(text: str, ws: list[str]) -> str:
             if len(p.findall(text)) > 0.3 * letters:
                 return k
     best, most = "none", 0.05 * len(ws)
+    count = Counter(ws)
     for k, fw in _FW.items():
-        n = sum(w in fw for w in ws)
+        n = sum(count[w] for w in fw)
         if n > most:
             best, most = k, n
     return best
@@ -76,7 +85,7 @@ def blocks(text: str) -> list[tuple[bool, str]]:
     for line in text.split("\n"):
         if not line or line.isspace():
             continue
-        n = len(_TOKEN.findall(line))
+        n = len(line.split()) if line.isascii() else len(_TOKEN.findall(line))
         if not n:
             continue
         kind = len(_END.findall(line)) >= LOW_PUNCTUATION * n
@@ -104,20 +113,21 @@ def label_words(ws: list[str], labels: dict[str, set[tuple]]) -> int:
 def features(text: str, names: list[str]) -> list[tuple]:
     """One tuple per block: (sentences, words, log2 bytes, ratio, language, distinct share, label share, tag share)."""
     out = []
+    parts = blocks(text)
     labels: dict[str, set[tuple]] = {}
-    for x in names:
-        own = tuple(_TOKEN.findall(x.lower()))
+    for x in names if any(not k for k, _ in parts) else ():
+        own = tuple(tokens(x.lower()))
         if own:
             labels.setdefault(own[0], set()).add(own)
-    for kind, b in blocks(text):
+    for kind, b in parts:
         low = b.lower()
-        ws = _TOKEN.findall(low)
+        ws = tokens(low)
         data = b.encode("utf-8", "surrogatepass")
         marked = [t for t in b.split() if len(t) > 1]
         out.append(
             (
-                kind, len(ws), math.log2(len(data)), ratio(data), guess_language(b, ws), len(set(ws)) / len(ws),
-                0.0 if kind or not labels else label_words(ws, labels) / len(ws),
+                kind, len(ws) or 1, math.log2(len(data)), ratio(data), guess_language(b, ws), len(set(ws)) / (len(ws) or 1),
+                0.0 if kind or not labels else label_words(ws, labels) / (len(ws) or 1),
                 0.0 if kind else sum(bool(_TAG.match(t)) for t in marked) / len(marked) if marked else 0.0,
             )
         )
