@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import boilerplate, leakage, mixing, neardup, residue, sentences, stuffing
+from . import boilerplate, leakage, mixing, names, neardup, residue, sentences, stuffing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_entity_pairs(load(spark, d, "page"))
+
+
+@query("p1_entities")
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(load(spark, d, "page"))
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(load(spark, d, "page"), load(spark, d, "capture"))
