@@ -103,6 +103,7 @@ _PLAIN = re.compile(r"[a-z]+(?:'[a-z]+)?")
 _WINDOW = regex.compile(r"\n|(?<=[.!?…])[\"”»’)]*\s+")
 _DROP = regex.compile(r"(?is)<(script|style|title|template|svg|nav|footer|aside)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
 _TAG = regex.compile(r"(?s)<[^>]*(?:>|\Z)")
+_SEPARATOR = re.compile(r"[·|/•»>▾©]|^copyright|^\(c\)", re.I)
 _NAVISH = regex.compile(r"^(?:[^.!?]{1,40}\s[·|/•»>▾]\s?){2,}|^\s*(?:©|\(c\)|copyright\b)", regex.I)
 
 
@@ -186,20 +187,12 @@ def is_residue(index: Index, text: str) -> bool:
     """The words shown are residue: an unfilled placeholder, or mostly windows that exemplars cover."""
     if is_placeholder(index, text):
         return True
-    lines = [x for x in text.split("\n") if x and not (len(x) < 200 and _NAVISH.search(x))]
-    # Windows are cases only where exemplar terms make up WINDOW_COVER of them: without enough such terms no window
-    # needs to be looked at.
-    idf, other = index.idf, index.other
-    seen = total = 0.0
-    for line in lines:
-        for t in terms(line):
-            w = idf.get(t)
-            if w is None:
-                total += other
-            else:
-                seen += w
-                total += w
-    if seen < WINDOW_COVER * PAGE_COVER * total:
+    lines = [x for x in text.split("\n") if x and not (len(x) < 200 and _SEPARATOR.search(x) and _NAVISH.search(x))]
+    # Windows are residue only where exemplar terms make up WINDOW_COVER of them: without enough such terms on the
+    # page no window needs to be looked at.
+    weights = list(map(index.idf.get, terms("\n".join(lines))))
+    seen = sum(filter(None, weights))
+    if seen < WINDOW_COVER * PAGE_COVER * (seen + weights.count(None) * index.other):
         return False
     total = inside = 0.0
     for line in lines:

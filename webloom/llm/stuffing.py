@@ -115,7 +115,7 @@ def features(text: str, names: list[str]) -> list[tuple]:
     out = []
     parts = blocks(text)
     labels: dict[str, set[tuple]] = {}
-    for x in names if any(not k for k, _ in parts) else ():
+    for x in names if any(not k and len(b) > 60 for k, b in parts) else ():
         own = tuple(tokens(x.lower()))
         if own:
             labels.setdefault(own[0], set()).add(own)
@@ -123,12 +123,12 @@ def features(text: str, names: list[str]) -> list[tuple]:
         low = b.lower()
         ws = tokens(low)
         data = b.encode("utf-8", "surrogatepass")
-        marked = [t for t in b.split() if len(t) > 1]
+        marked = [] if kind else [t for t in b.split() if len(t) > 1]
         out.append(
             (
                 kind, len(ws) or 1, math.log2(len(data)), ratio(data), guess_language(b, ws), len(set(ws)) / (len(ws) or 1),
                 0.0 if kind or not labels else label_words(ws, labels) / (len(ws) or 1),
-                0.0 if kind else sum(bool(_TAG.match(t)) for t in marked) / len(marked) if marked else 0.0,
+                sum(bool(_TAG.match(t)) for t in marked) / len(marked) if marked else 0.0,
             )
         )
     return out
