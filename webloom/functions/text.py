@@ -71,6 +71,11 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where body uses it inside another higher-order function."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_ws(c: Column | str) -> Column:
     """Runs of white space as single blanks, none at the ends. Compatibility forms (NFKC) are folded where text is
     extracted; Spark has no function for them."""
@@ -93,14 +98,17 @@ def content_tokens(c: Column | str) -> Column:
 
 def shingles(c: Column | str, size: int = 6) -> Column:
     """Distinct word sequences of the given size; a shorter text is one sequence, an empty one has none."""
-    w = words(c)
-    n = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return (
-        F.when(n >= size, F.array_distinct(grams))
-        .when(n > 0, F.array(F.array_join(w, " ")))
-        .otherwise(F.array().cast("array<string>"))
-    )
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        grams = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return (
+            F.when(n >= size, F.array_distinct(grams))
+            .when(n > 0, F.array(F.array_join(w, " ")))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    return bind(words(c), cut)
 
 
 def jaccard(a: Column, b: Column) -> Column:

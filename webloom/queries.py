@@ -113,3 +113,4 @@ def p7_bridge(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten_json(load(spark, d, "page")).select(
         "page_id", "field_name", "item_key", "node_path", "node_hash", "parent_hash", "ordinal"
     )
+
