@@ -127,8 +127,9 @@ def validate_document(doc: dict, schema: dict | None = None, path: str = "$") ->
         if "enum" in schema and doc not in schema["enum"]:
             errors.append(f"{path}: not one of {schema['enum']}")
         if isinstance(doc, (int, float)) and not isinstance(doc, bool):
-            errors += [f"{path}: below {schema['minimum']}"] * ("minimum" in schema and doc < schema["minimum"])
-            errors += [f"{path}: above {schema['maximum']}"] * ("maximum" in schema and doc > schema["maximum"])
+            for limit, beyond in (("minimum", lambda v, m: v < m), ("maximum", lambda v, m: v > m)):
+                if limit in schema and beyond(doc, schema[limit]):
+                    errors.append(f"{path}: beyond {limit} {schema[limit]}")
         if isinstance(doc, dict):
             errors += [f"{path}: {k} is missing" for k in schema.get("required", ()) if k not in doc]
             for k, v in doc.items():
@@ -136,7 +137,8 @@ def validate_document(doc: dict, schema: dict | None = None, path: str = "$") ->
                 if isinstance(sub, dict):
                     errors += validate_document(v, sub, f"{path}.{k}")
         if isinstance(doc, list):
-            errors += [f"{path}: fewer than {schema['minItems']} items"] * (len(doc) < schema.get("minItems", 0))
+            if len(doc) < schema.get("minItems", 0):
+                errors.append(f"{path}: fewer than {schema['minItems']} items")
             if isinstance(schema.get("items"), dict):
                 for i, v in enumerate(doc):
                     errors += validate_document(v, schema["items"], f"{path}[{i}]")

@@ -403,7 +403,7 @@ _L = pa.list_
 _FIELDS = [
     ("title", _S), ("lang", _S), ("canonical", _S), ("meta", pa.map_(_S, _S)),
     ("headings", _L(pa.struct([("level", pa.int32()), ("heading", _S)]))),
-    ("links", _L(pa.struct([("href", _S), ("text", _S), ("rel", _S), ("region", _S), ("has_img", pa.bool_()), ("img_alt", _S), ("internal", pa.bool_())]))),
+    ("links", _L(pa.struct([("href", _S), ("text", _S), ("rel", _S), ("region", _S), ("internal", pa.bool_()), ("has_img", pa.bool_()), ("img_alt", _S)]))),
     ("link_rels", _L(pa.struct([("rel", _S), ("href", _S)]))), ("images", _L(pa.struct([("src", _S), ("alt", _S)]))),
     ("time_elements", _L(pa.struct([("datetime", _S), ("text", _S)]))), ("microdata_types", _L(_S)),
     ("jsonld", _L(_S)), ("jsonld_errors", _L(_S)), ("text_main", _S), ("text_chrome", _S), ("text_promo", _S), ("text_hidden", _S),
@@ -415,7 +415,7 @@ _FIELDS = [
 _ARROW = pa.schema([("page_id", pa.int64()), *_FIELDS])
 EXTRACTED = (
     "title string, lang string, canonical string, meta map<string,string>, headings array<struct<level:int,heading:string>>, "
-    "links array<struct<href:string,text:string,rel:string,region:string,has_img:boolean,img_alt:string,internal:boolean>>, "
+    "links array<struct<href:string,text:string,rel:string,region:string,internal:boolean,has_img:boolean,img_alt:string>>, "
     "link_rels array<struct<rel:string,href:string>>, images array<struct<src:string,alt:string>>, "
     "time_elements array<struct<datetime:string,text:string>>, microdata_types array<string>, jsonld array<string>, "
     "jsonld_errors array<string>, text_main string, text_chrome string, text_promo string, text_hidden string, "
