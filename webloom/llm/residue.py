@@ -98,7 +98,7 @@ _HINT = re.compile(r"[{}<\[%#]|__|@|undefined|NaN|null|None")
 # Prose that uses "undefined" as a word of its own.
 _PLAIN_UNDEFINED = regex.compile(r"\bundefined\s+(?:behaviou?rs?|terms?|references?|variables?|functions?|values?|symbols?|states?)\b")
 _QUOTES = "\"'`“”„«»‘’"
-_TERM = regex.compile(r"\p{L}+(?:['’]\p{L}+)?")
+_TERM = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _PLAIN = re.compile(r"[a-z]+(?:'[a-z]+)?")
 _WINDOW = regex.compile(r"\n|(?<=[.!?…])[\"”»’)]*\s+")
 _DROP = regex.compile(r"(?is)<(script|style|title|template|svg|nav|footer|aside)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")

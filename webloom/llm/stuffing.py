@@ -39,6 +39,10 @@ A, B, PRIOR_BLOCKS = 0.30, 0.155, 30
 _END = re.compile(r"[.!?…](?=[\"”»’)\]]*(?:\s|$))|[。！？।؟]")
 _TOKEN = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}\p{Thai}]{1,4}|[\p{L}\p{N}][\p{L}\p{N}\p{M}'’_:\-]*")
 _PLAIN = re.compile(r"[a-z0-9][a-z0-9'_:\-]*")
+_SPACED = re.compile(r"[^\W_][\w'’:\-]*")
+#: Letters beyond Latin, Greek and Cyrillic on, and those of scripts without blanks.
+_BEYOND = re.compile("[\u0370-\u1dff\u3040-\ud7ff]")
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1780-\u17ff\u3040-\ud7ff]")
 _TAG = re.compile(r"#\S+$|tag:\S+$|[A-Z]{2,5}-\d{3,}$|\w+[_]\w+$", re.I)
 # Frequent function words by which a block's language is guessed.
 FUNCTION_WORDS = {
@@ -60,11 +64,13 @@ _SCRIPTS = [
 
 def tokens(low: str) -> list[str]:
     """Words of a lower-cased text; in scripts without blanks, short pieces."""
-    return _PLAIN.findall(low) if low.isascii() else _TOKEN.findall(low)
+    if low.isascii():
+        return _PLAIN.findall(low)
+    return _TOKEN.findall(low) if _UNSPACED.search(low) else _SPACED.findall(low)
 
 
 def guess_language(text: str, ws: list[str]) -> str:
-    if not text.isascii():
+    if not text.isascii() and _BEYOND.search(text):
         letters = len(regex.findall(r"\p{L}", text)) or 1
         for k, p in _SCRIPTS:
             if len(p.findall(text)) > 0.3 * letters:
@@ -85,7 +91,7 @@ def blocks(text: str) -> list[tuple[bool, str]]:
     for line in text.split("\n"):
         if not line or line.isspace():
             continue
-        n = len(line.split()) if line.isascii() else len(_TOKEN.findall(line))
+        n = len(_TOKEN.findall(line)) if not line.isascii() and _UNSPACED.search(line) else len(line.split())
         if not n:
             continue
         kind = len(_END.findall(line)) >= LOW_PUNCTUATION * n
