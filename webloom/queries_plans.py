@@ -341,3 +341,39 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+
+
+_R24 = f"""WITH RECURSIVE e AS (SELECT DISTINCT site_id, {sql_norm('src')} src, {sql_norm('dst')} dst FROM link_edge),
+s AS (SELECT site_id, {sql_norm('root_url')} u FROM site),
+b AS (SELECT site_id, u, 0 AS depth FROM s UNION SELECT e.site_id, e.dst, b.depth + 1 FROM b JOIN e ON e.site_id = b.site_id AND e.src = b.u WHERE b.depth < 6)
+SELECT site_id, u AS url, min(depth) AS depth FROM b WHERE u <> '' GROUP BY ALL"""
+
+
+@query("r24_link_depth", _R24)
+def r24(spark, d):
+    """Pages within six links of the root address, and how many it takes."""
+    from .operators.graph import depths
+
+    a = audit(spark, d)
+    return depths(a.edges, a.site.select("site_id", U.normalize_url("root_url").alias("url")).where("url <> ''"), 6)
+
+
+@query("s15_probe_plan")
+def s15(spark, d):
+    from .sources.capture import probe_plan
+
+    a = audit(spark, d, True)
+    return probe_plan(rules.declared_references(a), a.site)
+
+
+_S12 = f"""WITH q AS ({_S11}), k AS (SELECT DISTINCT site_id, u FROM (SELECT site_id, {sql_norm('url')} u FROM page))
+SELECT q.site_id, q.url_norm, position, CASE WHEN k.u IS NULL THEN 'fetch' ELSE 'known' END AS state FROM q LEFT JOIN k ON k.site_id = q.site_id AND k.u = q.url_norm"""
+
+
+@query("s12_fetch_plan", _S12)
+def s12(spark, d):
+    from .sources.capture import fetch_plan
+
+    q = SM.stratified_queue(_candidates(spark, d))
+    free = spark.createDataFrame([], "site_id long, url string, allowed boolean")
+    return fetch_plan(q, load(spark, d, "page"), free)
