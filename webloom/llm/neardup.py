@@ -24,8 +24,8 @@ from ..runtime import one_delivery, shared_table
 #: Words in a row that make a shingle, least similarity (Jaccard) of a pair, least words of a text.
 WORDS, SIMILARITY, MIN_WORDS = 6, 0.6, 40
 #: Symbols of a fingerprint and symbols a variant keeps. A pair of similarity s is found with the probability that at
-#: least KEEP of SYMBOLS agree: 0.975 at s = 0.6, 0.996 at 0.7, 0.9997 at 0.8 (84 variants a record).
-SYMBOLS, KEEP = 9, 3
+#: least KEEP of SYMBOLS agree: 0.988 at s = 0.6, 0.998 at 0.7, 0.9999 at 0.8 (120 variants a record).
+SYMBOLS, KEEP = 10, 3
 
 _WORD = re.compile(r"[a-z0-9][a-z0-9'\-]*")
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"symbol", i) for i in range(SYMBOLS)], np.uint64)
