@@ -119,6 +119,8 @@ def test_round_trip_from_bridge_and_objects(spark):
     assert members["n"] == 1 and set(members) == {"n", "kids", "one"}
     assert store[members["one"]["node"]]["object"][1] == ["n", None]
     assert len(store) == 4  # {"n": 2} is stored once though it occurs twice
+    flat_members = {(r.key, r.value) for r in nested.attributes(nested.objects(bridge)).collect()}
+    assert flat_members == {("n", "1"), ("n", "2"), ("n", None)}
 
 
 def test_prefix_join_against_brute_force(spark):

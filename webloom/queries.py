@@ -114,3 +114,8 @@ def p7_bridge(spark: SparkSession, d: str) -> DataFrame:
         "page_id", "field_name", "item_key", "node_path", "node_hash", "parent_hash", "ordinal"
     )
 
+
+
+@query("p7_attributes", None)
+def p7_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.attributes(nested.objects(nested.flatten_json(load(spark, d, "page"))))
