@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import pandas as pd
@@ -165,10 +165,17 @@ class Audit:
     probe: DataFrame
     rendered: DataFrame
     keep: bool = False
+    _made: dict = field(default_factory=dict, repr=False)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         return shared_table(df, name) if self.keep else df
 
+    def once(self, name: str, build) -> DataFrame:
+        """build() the first time it is asked for under this name, kept like the derived pages."""
+        if name not in self._made:
+            self._made[name] = self._kept(build(), name)
+        return self._made[name]
+
     @property
     def spark(self) -> SparkSession:
         return self.site.sparkSession
@@ -189,10 +196,11 @@ class Audit:
             F.struct("page_ord", "final_url", "url_norm", E.meta_get("meta", "og:site_name", "application-name").alias("name")),
             F.struct(~((F.col("depth") == 0) | (F.col("path") == "/")), F.col("page_ord")),
         )
-        return self.pages.groupBy("site_id").agg(first.alias("h")).select(
+        home = self.pages.groupBy("site_id").agg(first.alias("h")).select(
             "site_id", F.col("h.page_ord").alias("home_ord"), F.col("h.final_url").alias("home_url"), F.col("h.url_norm").alias("home_norm"),
             F.col("h.name").alias("home_site_name"),
         )
+        return self._kept(home, "home")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -212,12 +220,14 @@ class Audit:
     @cached_property
     def edges(self) -> DataFrame:
         """(site_id, src, dst): distinct internal links in comparison form."""
-        return self.edge.select("site_id", U.normalize_url("src").alias("src"), U.normalize_url("dst").alias("dst")).where("src <> '' AND dst <> ''").distinct()
+        e = self.edge.select("site_id", U.normalize_url("src").alias("src"), U.normalize_url("dst").alias("dst"))
+        return self._kept(e.where("src <> '' AND dst <> ''").distinct(), "edges")
 
     @cached_property
     def sitemap_urls(self) -> DataFrame:
         """(site_id, url_norm)."""
-        return self.sitemap.select("site_id", U.normalize_url("loc").alias("url_norm")).where("url_norm <> ''").distinct()
+        m = self.sitemap.select("site_id", U.normalize_url("loc").alias("url_norm"))
+        return self._kept(m.where("url_norm <> ''").distinct(), "sitemap")
 
     @cached_property
     def size(self) -> DataFrame:
@@ -311,6 +321,10 @@ def from_html(spark: SparkSession, sites: dict[int, dict], as_of: str = "2026-06
 
 def page_dates(a: Audit) -> DataFrame:
     """(site_id, page_ord, dates): array of (d, source) in the order JSON-LD, time elements, meta, visible text."""
+    return a.once("dates", lambda: _page_dates(a))
+
+
+def _page_dates(a: Audit) -> DataFrame:
     ld = a.nodes.groupBy("site_id", "page_ord").agg(F.flatten(F.array_sort(F.collect_list(F.struct("node_ord", "dates"))).getField("dates")).alias("ld"))
     keys = ("article:modified_time", "article:published_time", "date", "dc.date", "last-modified")
     c = a.content.select("site_id", "page_ord", "as_of", "time_elements", "meta", "text_main").join(ld, ["site_id", "page_ord"], "left")

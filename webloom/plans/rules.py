@@ -195,6 +195,10 @@ def mr008(a: Audit) -> DataFrame:
 
 def anchor_rows(a: Audit) -> DataFrame:
     """Internal anchors that count: no pagination, no figures; `weak` where nothing describes the destination."""
+    return a.once("anchors", lambda: _anchor_rows(a))
+
+
+def _anchor_rows(a: Audit) -> DataFrame:
     l = a.links.where(F.col("internal") & ~F.col("href").rlike(V.PAGINATION) & ~F.trim("label").rlike("^[0-9]+$"))
     l = l.withColumn("plain", T.is_nondescriptive_anchor("label"))
     told = l.where("NOT plain").select("site_id", "href_norm").distinct().withColumn("told", F.lit(True))
@@ -223,6 +227,10 @@ def recurring_title(a: Audit) -> DataFrame:
 
 def name_candidates(a: Audit) -> DataFrame:
     """(site_id, source, raw, norm, ord, url, core): what a site calls itself, from six kinds of places."""
+    return a.once("names", lambda: _name_candidates(a))
+
+
+def _name_candidates(a: Audit) -> DataFrame:
     c = a.content.select("site_id", "page_ord", "final_url", "is_core", "meta", "images", "text_chrome", "text_main")
     base = ["site_id", "page_ord", "final_url", "is_core"]
     one = lambda src, k, raw, df: df.select("site_id", F.lit(src).alias("source"), raw.alias("raw"), (F.col("page_ord") * 8 + k).cast("long").alias("ord"), F.col("final_url").alias("url"), F.col("is_core").alias("core"))
