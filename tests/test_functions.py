@@ -96,3 +96,19 @@ def test_mentions(spark):
 def test_very_long_text(spark):
     r = one(spark, [("word " * 200_000,)], "s string", T.word_count("s"), F.size(T.content_tokens("s")))
     assert r == [(200_000, 1)]
+
+
+def test_definitional_over_all_documents(spark, tmp_path):
+    from webloom.queries_functions import QUERIES
+
+    texts = [
+        "Résumé – Müller is a baker", "It’s ours: Zoë provides bread", "naïve text without any", "Ärzte's", "the café is\u00a0the best", "éoffers nothing", "東京 is one of many",
+        "plain, it sells tea", "plain", "", None, "İzmir’s shop was the world's first", "ünis a", "Łódź is Łukasz's town",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, QUERIES["t18_definitional_all"](spark, str(tmp_path)).collect()))
+    form = re.compile(
+        r"\b(?:is|are|was|were)\s+(?:a|an|the|one of|india's|the world's|our|your|\w+'s)\b|"
+        r"\b(?:provides?|offers?|helps?|enables?|delivers?|specialis[ez]es?|builds?|makes?|sells?|lets you|allows you)\b", re.I,
+    )
+    assert got == {i: bool(form.search(t or "")) for i, t in enumerate(texts)}

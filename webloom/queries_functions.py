@@ -202,6 +202,12 @@ def t18(spark, d):
     return docs(spark, d).where(F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.looks_definitional("text").alias("d"))
 
 
+@query("t18_definitional_all")
+def t18_all(spark, d):
+    """All documents; t18_definitional is the ASCII part, where DuckDB's \\b and \\w agree."""
+    return docs(spark, d).select("doc_id", T.looks_definitional("text").alias("d"))
+
+
 @query("t19_truncate", r"WITH t AS (SELECT page_id, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')) t FROM " + _ONE + " p) SELECT page_id, CASE WHEN len(t) <= 24 THEN t ELSE rtrim(left(t, 23)) || '…' END AS t FROM t")
 def t19(spark, d):
     return pages(spark, d, "title").select("page_id", T.truncate("title", 24).alias("t"))
