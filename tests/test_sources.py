@@ -43,6 +43,13 @@ def test_depths(spark):
     assert {tuple(r) for r in depths(e, s).collect()} == {(1, "a", 0), (1, "b", 1), (1, "c", 2), (3, "q", 0)}
 
 
+def test_depths_to_the_end_of_a_long_chain(spark):
+    e = spark.createDataFrame([(1, str(i), str(i + 1)) for i in range(53)], "site_id long, src string, dst string")
+    s = spark.createDataFrame([(1, "0")], "site_id long, url string")
+    assert {tuple(r) for r in depths(e, s).collect()} == {(1, str(i), i) for i in range(54)}
+    assert depths(e, s, 2).count() == 3
+
+
 def test_robots_details(spark):
     r = spark.createDataFrame([(1, 200, "Crawl-delay: x\nCrawl-delay: 3\nDisallow:\nSitemap: s1\n# no\nbad line"), (2, 200, None), (3, 200, "")], "site_id long, status int, text string")
     lines = RB.robots_lines(r)

@@ -351,11 +351,11 @@ SELECT site_id, u AS url, min(depth) AS depth FROM b WHERE u <> '' GROUP BY ALL"
 
 @query("r24_link_depth", _R24)
 def r24(spark, d):
-    """Pages within six links of the root address, and how many it takes."""
+    """All pages that links lead to from the root address, and how many it takes. The SQL looks six links far."""
     from .operators.graph import depths
 
     a = audit(spark, d)
-    return depths(a.edges, a.site.select("site_id", U.normalize_url("root_url").alias("url")).where("url <> ''"), 6)
+    return depths(a.edges, a.site.select("site_id", U.normalize_url("root_url").alias("url")).where("url <> ''"))
 
 
 @query("s15_probe_plan")
