@@ -92,6 +92,26 @@ def test_a_name_typed_alike_by_a_third_of_all(spark):
     assert names.same_entity_pairs(pages(spark, rows)).count() == 60 * 59 // 2
 
 
+def test_crowded_names_against_brute_force(spark):
+    places = ["Larburn", "Alrburn", None, "Pimminster", "Relmere"]
+    rows = [(i, person(f"U{VOCAB[i % 64]}{VOCAB[(i * 7 + 3) % 61]} Bargrapost".title(), places[i % 5], "teacher", "Marine Pumps")) for i in range(330)]
+    rows += [(400 + i, firm(f"{VOCAB[i]}{VOCAB[63 - i]} Pumps".title(), places[i % 5])) for i in range(40)]
+    rows += [(500, person("Ulrich Bargrapost", "Larburn", "cook", "Sea Freight")), (501, person("Ulrich Bargrapost", None, "cook", "Sea Freight"))]
+    rows += [(502, person("Ulrich Bargarpost", "Alrburn", "cook", "Sea Freight")), (503, person("Bargrapost", "Larburn", "cook", "Sea Freight"))]
+    one = names.profiles(pages(spark, rows)).withColumn("node", F.col("page_id"))
+    got = {(r.a, r.b): r.strong for r in names.links(one, names.block_keys(one)).collect()}
+    want = {}
+    all_ = sorted(one.collect(), key=lambda r: r.node)
+    for n, x in enumerate(all_):
+        for y in all_[n + 1 :]:
+            met = [(t, u) for t in x.spelled for u in y.spelled if x.kind == y.kind and len(t) > 2 and t[-3:] == u[-3:]]
+            says = [names.compare(x.kind, x.parts, y.parts, t, u, (x.place, x.job, x.employer), (y.place, y.job, y.employer)) for t, u in met]
+            if any(v is not None for v in says):
+                want[x.node, y.node] = any(says)
+    assert got == want
+    assert got[500, 501] and got[500, 502] and got[501, 502] and (0, 5) not in got
+
+
 # --- 2 residue ---------------------------------------------------------------------------------------------------------
 
 

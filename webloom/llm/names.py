@@ -2,10 +2,10 @@
 
 A profile page names its subject several times. Per page the spellings are folded, split into tokens and aligned, so
 that every page has a core (the agreed spelling of each part of the name, place and work) and the set of spellings
-seen. Pages with equal cores are one node. Suffixes of all spelled tokens are indexed; a suffix shared by too many
-nodes is first refined with other fields (initials of the other parts, place, work) and only dropped where even that
-leaves a crowd. Nodes that meet in a block are compared by the ratio of the longest common subsequence of their
-tokens and by their other fields; linked nodes form entities, and pages of one entity are pairs.
+seen. Pages with equal cores are one node. The suffixes of three letters of all spelled tokens are indexed (longer ones
+meet no further pair); a suffix shared by many nodes is cut into chunks that meet two by two. Of the nodes that meet,
+those that edit distances of names and fields can't part are compared by the ratio of the longest common subsequence
+of their tokens and by their other fields; linked nodes form entities, and pages of one entity are pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import one_delivery, shared_table
 
-#: Shortest suffix indexed; spellings a block may hold before it is refined, and before a block refined by all fields
-#: is linked as a star (each node with the lowest) instead of pair by pair.
-MIN_SUFFIX, COMMON, CROWD = 3, 30, 300
+#: Shortest suffix indexed; spellings a block may hold before it is cut into chunks that meet two by two.
+MIN_SUFFIX, CROWD = 3, 300
 #: Least ratio of the longest common subsequence: with work that agrees, with a place only, without any other field,
 #: and of places and work themselves.
 SIMILAR, SIMILAR_PLACE, SIMILAR_ALONE, SIMILAR_FIELD = 0.8, 0.85, 0.88, 0.72
@@ -310,42 +309,53 @@ def profiles(page: DataFrame) -> DataFrame:
 
 
 def block_keys(pages: DataFrame) -> DataFrame:
-    """(key, node, token): refined suffix blocks. The token is the spelling whose suffix it is."""
-    spelled = (
-        pages.select("node", "kind", "parts", "place", "job", "employer", F.explode("spelled").alias("token"))
+    """(key, chunk, crowd, node, token): suffix blocks. The token is the spelling whose suffix it is.
+
+    Spellings that share any suffix share the shortest one, so its blocks hold every pair that meets, whatever the size
+    of the table. A block of more than CROWD spellings is cut into chunks and every two of them meet in a block of
+    their own (crowd: of two different chunks), so that no task holds a crowd and no pair is left out.
+    """
+    rows = (
+        pages.select("node", "kind", F.explode("spelled").alias("token"))
         .where(F.length("token") >= MIN_SUFFIX)
         .distinct()
+        .withColumn("suffix", F.expr(f"right(token, {MIN_SUFFIX})"))
     )
-    initials = F.array_join(F.array_sort(F.transform("parts", lambda p: F.substring(p, 1, 1))), "")
-    n = F.length("token")
-    rows = spelled.select(
-        "node", "token", "kind", initials.alias("initials"), F.substring("place", 1, 3).alias("near"),
-        F.concat_ws("/", F.substring("employer", 1, 4), F.substring("job", 1, 3)).alias("work"),
-        F.explode(F.transform(F.sequence(F.lit(MIN_SUFFIX), n), lambda k: F.substring(F.col("token"), n - k + 1, k))).alias("suffix"),
+    rows = shared_table(rows, "names-suffixes")
+    # Spellings by block, counted with a combining aggregation; a block's rows are never brought together for it.
+    sizes = rows.groupBy("kind", "suffix").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("chunks"))
+    cut = rows.join(sizes, ["kind", "suffix"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return cut.select(
+        F.xxhash64("kind", "suffix", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"),
+        "chunk", (F.col("chunk") != F.col("other")).alias("crowd"), "node", "token",
     )
-    levels = [
-        ["kind", "suffix"],
-        ["kind", "suffix", "initials"],
-        ["kind", "suffix", "initials", "near"],
-        ["kind", "suffix", "initials", "near", "work"],
-    ]
-    out = None
-    rest = shared_table(rows, "names-suffixes")
-    for depth, cols in enumerate(levels):
-        key = F.xxhash64(F.lit(depth), *cols)
-        keyed = rest.withColumn("key", key)
-        # Spellings by block, counted with a combining aggregation; a block's rows are never brought together for it.
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        joined = shared_table(keyed.join(sizes, "key"), f"names-keys{depth}")
-        limit = COMMON if depth < len(levels) - 1 else CROWD
-        fine = joined.where(F.col("size") <= limit).select("key", "node", "token")
-        out = fine if out is None else out.unionByName(fine)
-        rest = joined.where(F.col("size") > limit).drop("key", "size")
-    # What is still crowded shares suffix, initials, place and work; there only whole tokens count, and a node joins
-    # the lowest node of its block: a star instead of all pairs.
-    return out.distinct(), rest.where(F.col("suffix") == F.col("token")).select(
-        F.xxhash64(F.lit(9), *levels[-1]).alias("key"), "node", "token"
-    ).distinct()
+
+
+def _near(x: Column, y: Column, least: float) -> Column:
+    """Whether ratio(x, y) may reach `least`: what it says of edits bounds the Levenshtein distance from above."""
+    return (x == y) | (F.levenshtein(x, y) <= (1 - least) * (F.length(x) + F.length(y)) + 1e-6)
+
+
+def may_be_same() -> Column:
+    """What every pair that compare() does not part fulfils, on columns named as in links(): only cheaper."""
+    c = F.col
+    size_a, size_b = F.size("parts_a"), F.size("parts_b")
+
+    def longest_met(small: Column, large: Column) -> Column:
+        top = F.array_max(F.transform(small, F.length))
+        met = lambda t: F.exists(large, lambda o: (F.substring(o, 1, 1) == F.substring(t, 1, 1)) | _near(t, o, SIMILAR))
+        return F.forall(small, lambda t: (F.length(t) < top) | met(t))
+
+    person = _near(c("ta"), c("tb"), SIMILAR) | _near(c("parts_a")[0], c("parts_b")[0], SIMILAR)
+    firm = (F.abs(size_a - size_b) <= 1) & ((F.least(size_a, size_b) > 1) | (F.greatest(size_a, size_b) < 2))
+    firm = firm & F.when(size_a <= size_b, longest_met(c("parts_a"), c("parts_b"))).otherwise(longest_met(c("parts_b"), c("parts_a")))
+    name = F.when(c("kind_a") == "person", person).otherwise(firm)
+    told = lambda f: (c(f"{f}_a") != "") & (c(f"{f}_b") != "")
+    like = lambda f, least=SIMILAR_FIELD: _near(c(f"{f}_a"), c(f"{f}_b"), least)
+    work = (~told("job") | like("job")) & (~told("employer") | like("employer"))
+    far = told("job") & told("employer") & like("place", 0.6)
+    return F.when(told("place"), like("place") | far & work).otherwise(work) & name
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("strong", pa.bool_())])
@@ -409,14 +419,15 @@ def compare(kind: str, x: list[str], y: list[str], tx: str, ty: str, a: tuple[st
 
 def links(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """(a, b, strong): nodes of one entity among those that meet in a block."""
-    x = keys.select("key", F.col("node").alias("a"), F.col("token").alias("ta"))
-    y = keys.select("key", F.col("node").alias("b"), F.col("token").alias("tb"))
-    met = x.join(y, "key").where("a < b").select("a", "b", "ta", "tb").distinct()
+    f = ["kind", "parts", "place", "job", "employer"]
+    side = lambda x: keys.join(nodes.select("node", *f), "node").select(
+        "key", "crowd", F.col("chunk").alias(f"chunk_{x}"), F.col("node").alias(x), F.col("token").alias(f"t{x}"), *[F.col(c).alias(f"{c}_{x}") for c in f]
+    )
+    met = side("a").join(side("b").drop("crowd"), "key").where("a < b AND (NOT crowd OR chunk_a <> chunk_b)").where(may_be_same())
     # Of several pairs of spellings of two nodes the closest by length says enough: keep one for each pair of nodes.
     met = met.groupBy("a", "b").agg(
         F.min(F.struct(F.levenshtein("ta", "tb").alias("d"), F.col("ta"), F.col("tb"))).alias("t")
     ).select("a", "b", "t.ta", "t.tb")
-    f = ["kind", "parts", "place", "job", "employer"]
     left = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in f])
     right = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in f])
     pairs = met.join(left, "a").join(right, "b").select(
@@ -468,11 +479,7 @@ def entities(page: DataFrame) -> DataFrame:
         ),
         "names-nodes",
     )
-    keys, crowd = block_keys(seen)
-    found = links(nodes, keys)
-    star = crowd.groupBy("key").agg(F.min("node").alias("a"))
-    hub = crowd.join(star, "key").where("a < node").select("a", F.col("node").alias("b"), F.lit(True).alias("strong")).distinct()
-    edges = shared_table(found.unionByName(hub).groupBy("a", "b").agg(F.max("strong").alias("strong")), "names-links")
+    edges = shared_table(links(nodes, shared_table(block_keys(seen), "names-keys")), "names-links")
     first = components(nodes.select(F.col("node").alias("v")), edges.where("strong").select("a", "b"), "names-strong")
     # Nodes that only their name links join an entity if it is the only one of that name, or by far the largest.
     size = nodes.select(F.col("node").alias("v"), "pages", ((F.col("place") != "") | (F.col("job") != "") | (F.col("employer") != "")).cast("int").alias("told")).join(first, "v")
