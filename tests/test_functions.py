@@ -112,3 +112,17 @@ def test_definitional_over_all_documents(spark, tmp_path):
         r"\b(?:provides?|offers?|helps?|enables?|delivers?|specialis[ez]es?|builds?|makes?|sells?|lets you|allows you)\b", re.I,
     )
     assert got == {i: bool(form.search(t or "")) for i, t in enumerate(texts)}
+
+
+def test_dates_and_prices_of_pages(spark, tmp_path):
+    from webloom.queries_functions import QUERIES, _DATES, _DATES_WANT, _PRICES, _PRICES_WANT
+
+    ld = ['{"offers": [{"price": "\\u20ac1,299.00"}, {"lowPrice": 12.345, "priceCurrency": "EUR"}], "datePublished": "2024-05-06 10:00"}', "{", None]
+    rows = [(i, x, ld if i == 0 else None, {"article:modified_time": "May 5, 2023"} if i == 0 else None) for i, x in enumerate(_DATES + _PRICES)]
+    spark.createDataFrame(rows, "page_id long, text_main string, jsonld array<string>, meta map<string,string>").write.parquet(f"{tmp_path}/page.parquet")
+    got = {q: sorted(map(tuple, QUERIES[q](spark, str(tmp_path)).collect())) for q in QUERIES if re.match("t1[2-5].*_pages$", q)}
+    n = len(_DATES)
+    assert [v for _, v in got["t12_find_dates_pages"]][:n] == _DATES_WANT
+    assert [v for _, v in got["t13_find_prices_pages"]][n:] == _PRICES_WANT
+    assert got["t14_normalize_number_pages"] == [(0, 0, "1299"), (0, 1, "12.35")]
+    assert got["t15_parse_datetime_attr_pages"] == [(0, 0, "2024-05-06"), (0, 1, "2023-05-05")]

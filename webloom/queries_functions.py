@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,6 +179,64 @@ def t14(spark, d):
     return literals(spark, _NUMS).select("i", T.normalize_number("s").alias("v"))
 
 
+def json_values(block: str | None, wanted: re.Pattern) -> list[str]:
+    """Strings and numbers (as written) below keys that match, in document order; broken JSON has none."""
+    try:
+        todo = [("", json.loads(block or "", parse_float=str, parse_int=str))]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while todo:
+        key, v = todo.pop()
+        if isinstance(v, dict):
+            todo.extend(reversed(v.items()))
+        elif isinstance(v, list):
+            todo.extend((key, x) for x in reversed(v))
+        elif isinstance(v, str) and wanted.search(key):
+            out.append(v)
+    return out
+
+
+def declared(spark: SparkSession, d: str, keys: str) -> DataFrame:
+    """(page_id, i, s): the values of JSON-LD members and meta entries whose key matches, numbered by page."""
+    wanted = re.compile(keys)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for page, blocks, meta in zip(*(b.column(k).to_pylist() for k in range(3))):
+                own = [v for x in blocks or () for v in json_values(x, wanted)]
+                own += [m["value"] for m in meta or () if wanted.search(m["key"]) and m["value"] is not None]
+                rows += [(page, i, v.encode("utf-8", "replace").decode()) for i, v in enumerate(own)]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))], names=["page_id", "i", "s"])
+
+    one = pages(spark, d, "jsonld", F.array_sort(F.map_entries("meta")).alias("meta"))
+    return one.select(F.col("page_id").cast("long"), "jsonld", "meta").mapInArrow(run, "page_id long, i int, s string")
+
+
+@query("t12_find_dates_pages")
+def t12_pages(spark, d):
+    found = T.find_dates("text_main", F.lit("2026-06-15").cast("date"))
+    return pages(spark, d, "text_main").select("page_id", F.array_join(F.transform(found, lambda v: v.cast("string")), " ").alias("dates"))
+
+
+@query("t13_find_prices_pages")
+def t13_pages(spark, d):
+    return pages(spark, d, "text_main").select("page_id", F.array_join(T.find_prices("text_main"), " ").alias("prices"))
+
+
+@query("t14_normalize_number_pages")
+def t14_pages(spark, d):
+    return declared(spark, d, r"(?i)price$|price:amount$").select("page_id", "i", T.normalize_number("s").alias("v"))
+
+
+@query("t15_parse_datetime_attr_pages")
+def t15_pages(spark, d):
+    day = T.parse_datetime_attr("s", F.lit("2026-06-15").cast("date"))
+    return declared(spark, d, r"(?i)^date|[.:_-]date$|(?:modified|published|updated)_time$|^last-modified$").select("page_id", "i", day.cast("string").alias("v"))
+
+
 @query(
     "t16_timeliness",
     "SELECT page_id, array_to_string(list_filter([" + ", ".join("'" + p.replace("'", "''") + "'" for p in T.TIME_SENSITIVE) + "], lambda p: contains(lower(coalesce(tm, '')), p)), '|') AS hits FROM " + _ONE + " p",
