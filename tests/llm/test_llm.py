@@ -356,6 +356,37 @@ def test_units_blanks_and_missing_blanks():
     assert sentences.sentence_ends(t) == [t.index(" กุญแจ"), len(t)]
 
 
+def test_long_runs_of_weak_candidates_stay_whole():
+    def brute(t):
+        cand = [(e, s) for e, s in sentences.Unit(t).candidates() if s > sentences.IMPOSSIBLE]
+        ends, close = [e for e, _ in cand] + [len(t)], [s for _, s in cand] + [0.0]
+        best, back = [0.0], [0]
+        for j in range(1, len(ends) + 1):
+            start = lambda i: ends[i - 1] if i else 0
+            told = [best[i] + sentences._opening_score(t, start(i)) + close[j - 1] + sentences._length_score(ends[j - 1] - start(i)) for i in range(j)]
+            best.append(max(told))
+            back.append(max(i for i in range(j) if told[i] == best[j]))
+        return best[-1]
+
+    def worth(t):
+        close = dict(sentences.Unit(t).candidates())
+        got, total, at = sentences.split_unit(t), 0.0, 0
+        for e in got:
+            total += sentences._opening_score(t, at) + close.get(e, 0.0) + sentences._length_score(e - at)
+            at = e
+        return total
+
+    for n in (20, 30, 60):
+        assert len(sentences.split_unit("so it goes " + "... and then ".join(["on "] * n) + "to the end")) == 1
+    r = random.Random(5)
+    bits = ["... and so ", "a. ", "Then he went. ", "3. flour ", "“Stop!” ", "x" * 90 + " ", "no? ", "Dr. Who ", "e.g. this "]
+    for _ in range(60):
+        t = "".join(r.choice(bits) for _ in range(r.randrange(1, 80))).strip()
+        assert abs(worth(t) - brute(t)) < 1e-6
+    deep = "(" * 12 + "„Ja. Nein.“ [" + "{" * 9 + " One. Two. ]"
+    assert sentences.pairs(deep)[deep.index("[")] == len(deep) - 1
+
+
 def test_sentence_rows_and_long_texts(spark):
     d = spark.createDataFrame([(1, "One. Two."), (2, None), (3, ""), (4, "It is so. " * 30_000), (None, "x.")], "doc_id long, text string")
     got = sentences.split_sentences(d.withColumn("sent_end", F.lit(1)))

@@ -9,6 +9,7 @@ length, its opening word, the word it closes with and the balance of its quotati
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,9 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates a span may skip. Scores of skipped candidates are bounded, so longer spans never win but where quotation
-#: marks force them; those candidates are not counted.
-REACH = 24
+#: Signs below which a span is hardly a sentence, from which it is over long, and what every further sign costs.
+LEAST_SPAN, LONG_SPAN, PER_SIGN = 3, 400, 0.0004
 #: Score up to which a candidate is none.
 IMPOSSIBLE = -4.0
 
@@ -73,33 +73,39 @@ def pairs(unit: str) -> dict[int, int]:
     """
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    at_of: dict[str, list[int]] = {}  # places in the stack of every kind of mark
     straight = False  # a straight quotation mark is open
+
+    def push(c: str, i: int) -> None:
+        at_of.setdefault(c, []).append(len(stack))
+        stack.append((c, i))
+
+    def close(at: int, i: int) -> None:
+        out[stack[at][1]] = i
+        while len(stack) > at:
+            at_of[stack.pop()[0]].pop()
+
     for i, c in enumerate(unit):
         if c == '"':
             if straight:
-                while stack[-1][0] != '"':
-                    stack.pop()
-                out[stack.pop()[1]] = i
+                close(at_of[c][-1], i)
                 straight = False
             elif i == 0 or unit[i - 1].isspace() or unit[i - 1] in _OPENERS or unit[i - 1] in "-–—/:" or _CASELESS.match(unit[i - 1]):
-                stack.append((c, i))
+                push(c, i)
                 straight = True
         elif c in "„«‹([{「『（【《〈":
-            stack.append((c, i))
+            push(c, i)
         elif c == "“":
             # Closes a German quotation, else opens an English one.
             if stack and stack[-1][0] == "„":
-                out[stack.pop()[1]] = i
+                close(len(stack) - 1, i)
             else:
-                stack.append((c, i))
+                push(c, i)
         elif c in _OPEN_OF and c != "’":
-            want = _OPEN_OF[c]
-            # A partner far down a pile of marks that were never closed is none.
-            at = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k][0] in want), None)
+            at = max((at_of[k][-1] for k in _OPEN_OF[c] if at_of.get(k)), default=None)
             if at is not None:
-                out[stack[at][1]] = i
-                straight = straight and all(s != '"' for s, _ in stack[at:])
-                del stack[at:]
+                close(at, i)
+                straight = bool(at_of.get('"'))
     return out
 
 
@@ -268,7 +274,7 @@ class Unit:
 
 def _length_score(n: int) -> float:
     """What a span's length says: next to nothing, but spans of a sign or two are no sentences."""
-    return -1.0 if n < 3 else -0.0004 * max(0, n - 400)
+    return -1.0 if n < LEAST_SPAN else -PER_SIGN * max(0, n - LONG_SPAN)
 
 
 def _opening_score(t: str, at: int) -> float:
@@ -286,13 +292,30 @@ def split_unit(t: str) -> list[int]:
     cand = [(e, s) for e, s in unit.candidates() if s > IMPOSSIBLE]
     ends = [e for e, _ in cand] + [len(t)]
     close = [s for _, s in cand] + [0.0]
+    starts = [0, *ends[:-1]]
     best = [0.0] * (len(ends) + 1)
     back = [0] * (len(ends) + 1)
+    first: list[float] = []  # what is reached before a span from each start, and its first word
+    near: deque[int] = deque()  # starts whose spans are of usual length, the best first
+    far = -1  # the best start whose span is over long: there the length score falls alike for all
+    to_near = to_far = 0
     for j in range(1, len(ends) + 1):
+        end = ends[j - 1]
+        first.append(best[j - 1] + _opening_score(t, starts[j - 1]))
+        while to_near < j and end - starts[to_near] >= LEAST_SPAN:
+            while near and first[near[-1]] <= first[to_near]:
+                near.pop()
+            near.append(to_near)
+            to_near += 1
+        while to_far < to_near and end - starts[to_far] > LONG_SPAN:
+            if far < 0 or first[to_far] + PER_SIGN * starts[to_far] >= first[far] + PER_SIGN * starts[far]:
+                far = to_far
+            to_far += 1
+        while near and near[0] < to_far:
+            near.popleft()
         top, arg = -math.inf, j - 1
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
-            start = ends[i - 1] if i else 0
-            s = best[i] + close[j - 1] + _length_score(ends[j - 1] - start) + _opening_score(t, start)
+        for i in (*range(j - 1, to_near - 1, -1), *([near[0]] if near else ()), *([far] if far >= 0 else ())):
+            s = first[i] + close[j - 1] + _length_score(end - starts[i])
             if s > top:
                 top, arg = s, i
         best[j], back[j] = top, arg
