@@ -156,7 +156,12 @@ def test_stuffing(spark):
         (5, {"text_main": real + "\nTags: boot rack, lamp\nSizes: 8 mm | 9 mm"}), (6, {"text_main": None}), (7, {"text_main": ""}), (8, {"text_main": "boot rack boot rack"}),
         (9, {"text_main": " ".join(f"#{w} tag:{w} SKU-{1000 + i}" for i, w in enumerate(VOCAB[:20]))}), (1, {"text_main": soup}), (10, {"text_main": soup * 400}),
     ]
-    assert {x.page_id for x in stuffing.stuffed_pages(pages(spark, rows)).collect()} == {1, 2, 3, 9, 10}
+    # Keyword lists cut up by short sentences, a short tag list, a list of Han labels of under 60 characters.
+    mixed = "\n".join(x for k in range(0, 240, 20) for x in (", ".join(soup.split(" ")[k : k + 20]), "Buy a rack now!"))
+    han = ["木桌商店", "木椅商店", "铁锅商店", "茶壶商店", "雨衣商店", "台灯商店", "书架商店", "木梯商店"]
+    rows += [(11, {"text_main": mixed}), (12, {"text_main": " ".join(f"#{w} tag:{v}" for w, v in zip(VOCAB[:11], VOCAB[20:31]))}),
+             (13, {"text_main": " · ".join(han), "links": [("h", x, "main") for x in han]})]
+    assert {x.page_id for x in stuffing.stuffed_pages(pages(spark, rows)).collect()} == {1, 2, 3, 9, 10, 11, 12, 13}
     assert stuffing.stuffed_pages(pages(spark, [])).count() == 0
 
 

@@ -1,11 +1,12 @@
 """Keyword-stuffed and link-list pages: block-wise compression ratio, normalised by length and language.
 
-A page is cut into blocks (runs of lines that are either sentences or not). Each block is compressed; what ratio is
-usual for its length and language is counted over all blocks of all pages, and a block that shrinks far more than
-usual is extremely redundant. Low density of sentence punctuation confirms it; where stuffed text does carry
-punctuation ("sentences" that only repeat keywords), a low share of distinct words confirms it instead. Lists of link
-labels do not repeat themselves, so blocks without sentences are also held against the page's own link labels and
-against the notation of tags.
+A page's lines are sentences or not; the lines of either kind, wherever they stand, make up its blocks. Every block is
+compressed against a prior: the page's own link labels are the compressor's dictionary, and tokens in tag notation
+are folded to that notation first, so that lists of labels and tags, which need not repeat themselves, are as
+redundant to the compressor as repeated keywords. What ratio is usual for a block's length and language is counted
+over all blocks of all pages; a block that shrinks far more than usual is extremely redundant, and low density of
+sentence punctuation confirms it. Stuffed text that carries punctuation ("sentences" that only repeat keywords) cannot
+be confirmed that way; there a low share of distinct words does it.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ from pyspark.sql import functions as F
 from ..runtime import shared_table
 
 #: Redundancy (ratio over the usual ratio) from which a block is extreme: with and without sentence punctuation.
-EXTREME_SENTENCES, EXTREME_LIST = 1.5, 1.15
+EXTREME_SENTENCES, EXTREME_LIST = 1.65, 1.2
 #: Marks of sentence ends per word below which a line is no sentence.
 LOW_PUNCTUATION = 0.04
 #: Share of distinct words below which redundant sentences count as stuffing.
 DISTINCT = 0.4
-#: Share of a block's words inside link labels, of its tokens that are tags, and least words of a stuffed block.
-LABELS, TAGS, LEAST_WORDS = 0.5, 0.25, 25
+#: Bytes after which a block is closed; the rest of its kind goes on in the next.
+BLOCK_BYTES = 4096
 #: Share of a page's words in stuffed blocks from which it is a case.
 PAGE_SHARE = 0.5
 #: Usual ratio before anything is counted: A + B * log2(bytes); it weighs as much as PRIOR_BLOCKS blocks.
-A, B, PRIOR_BLOCKS = 0.30, 0.155, 30
+A, B, PRIOR_BLOCKS = 0.40, 0.155, 30
 
 _END = re.compile(r"[.!?…](?=[\"”»’)\]]*(?:\s|$))|[。！？।؟]")
 _TOKEN = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}\p{Thai}]{1,4}|[\p{L}\p{N}][\p{L}\p{N}\p{M}'’_:\-]*")
@@ -43,7 +44,8 @@ _SPACED = re.compile(r"[^\W_][\w'’:\-]*")
 #: Letters beyond Latin, Greek and Cyrillic on, and those of scripts without blanks.
 _BEYOND = re.compile("[\u0370-\u1dff\u3040-\ud7ff]")
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1780-\u17ff\u3040-\ud7ff]")
-_TAG = re.compile(r"#\S+$|tag:\S+$|[A-Z]{2,5}-\d{3,}$|\w+[_]\w+$", re.I)
+# Notations of tags: #word, key:word, letters with a number, words joined by underscores.
+_NOTATION = re.compile(r"(?<!\S)(?:#[\w\-]+|([a-z]{2,}:)[\w\-]+|[A-Za-z]{2,}-\d{3,}|\w+_\w+)(?![^\s,;|])")
 # Frequent function words by which a block's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and a in to is for with was on that by from it at",
@@ -85,65 +87,57 @@ def guess_language(text: str, ws: list[str]) -> str:
 
 
 def blocks(text: str) -> list[tuple[bool, str]]:
-    """(has sentence punctuation, text) of the runs of lines of one kind. A line is a sentence line if its marks per
-    word reach LOW_PUNCTUATION; short lines (headings) between sentences stay with them."""
-    out: list[list] = []
+    """(has sentence punctuation, text): the lines of either kind in their order, a block for every BLOCK_BYTES. A line
+    is a sentence line if its marks per word reach LOW_PUNCTUATION. What stands between the lines of a kind does not
+    part them, so spam that alternates with short sentences is still held together."""
+    out: list[tuple[bool, str]] = []
+    open_: dict[bool, list[str]] = {True: [], False: []}
+    size = {True: 0, False: 0}
     for line in text.split("\n"):
         if not line or line.isspace():
             continue
         n = len(_TOKEN.findall(line)) if not line.isascii() and _UNSPACED.search(line) else len(line.split())
-        if not n:
-            continue
         kind = len(_END.findall(line)) >= LOW_PUNCTUATION * n
-        if out and out[-1][0] == kind:
-            out[-1][1].append(line)
-        else:
-            out.append([kind, [line]])
-    return [(k, "\n".join(ls)) for k, ls in out]
+        for at in range(0, len(line), BLOCK_BYTES):
+            piece = line[at : at + BLOCK_BYTES]
+            if size[kind] and size[kind] + len(piece) > BLOCK_BYTES:
+                out.append((kind, "\n".join(open_[kind])))
+                open_[kind], size[kind] = [], 0
+            open_[kind].append(piece)
+            size[kind] += len(piece) + 1
+    return out + [(k, "\n".join(ls)) for k, ls in open_.items() if ls]
 
 
-def ratio(data: bytes) -> float:
-    return len(data) / len(zlib.compress(data, 6))
+def folded(block: str) -> str:
+    """block with every tag as its notation only."""
+    return _NOTATION.sub(lambda m: m.group(1) or ("#" if m.group()[0] == "#" else "_" if "_" in m.group() else "-"), block)
 
 
-def label_words(ws: list[str], labels: dict[str, set[tuple]]) -> int:
-    """Words inside link labels, longest label first from left to right; labels: first word -> labels as words."""
-    at = inside = 0
-    while at < len(ws):
-        hit = max((len(x) for x in labels.get(ws[at], ()) if tuple(ws[at : at + len(x)]) == x), default=0)
-        inside += hit
-        at += hit or 1
-    return inside
+def packed(text: str, prior: bytes = b"") -> int:
+    """Bytes of the compressed text, without header, with `prior` as the compressor's dictionary."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_DEFAULT_STRATEGY, prior) if prior else zlib.compressobj(6, zlib.DEFLATED, -15, 9)
+    data = text.encode("utf-8", "surrogatepass")
+    return len(z.compress(data)) + len(z.flush())
 
 
 def features(text: str, names: list[str]) -> list[tuple]:
-    """One tuple per block: (sentences, words, log2 bytes, ratio, language, distinct share, label share, tag share)."""
+    """One tuple per block: (sentences, words, log2 bytes, ratio, language, distinct share)."""
     out = []
     parts = blocks(text)
-    labels: dict[str, set[tuple]] = {}
-    for x in names if any(not k and len(b) > 60 for k, b in parts) else ():
-        own = tuple(tokens(x.lower()))
-        if own:
-            labels.setdefault(own[0], set()).add(own)
+    prior = "\n".join(dict.fromkeys(names)).lower().encode("utf-8", "surrogatepass")[-32768:] if any(not k for k, _ in parts) else b""
     for kind, b in parts:
         low = b.lower()
         ws = tokens(low)
-        data = b.encode("utf-8", "surrogatepass")
-        marked = [] if kind else [t for t in b.split() if len(t) > 1]
-        out.append(
-            (
-                kind, len(ws) or 1, math.log2(len(data)), ratio(data), guess_language(b, ws), len(set(ws)) / (len(ws) or 1),
-                0.0 if kind or not labels else label_words(ws, labels) / (len(ws) or 1),
-                sum(bool(_TAG.match(t)) for t in marked) / len(marked) if marked else 0.0,
-            )
-        )
+        size = len(b.encode("utf-8", "surrogatepass"))
+        small = packed(low) if kind else packed(folded(b).lower(), prior)
+        out.append((kind, len(ws) or 1, math.log2(size), size / small, guess_language(b, ws), len(set(ws)) / (len(ws) or 1)))
     return out
 
 
 _SCHEMA = pa.schema(
     [
         ("page_id", pa.int64()), ("sentences", pa.bool_()), ("words", pa.int64()), ("bits", pa.float64()), ("ratio", pa.float64()),
-        ("lang", pa.string()), ("distinct_share", pa.float64()), ("label_share", pa.float64()), ("tag_share", pa.float64()),
+        ("lang", pa.string()), ("distinct_share", pa.float64()),
     ]
 )
 
@@ -162,7 +156,7 @@ def block_features(page: DataFrame) -> DataFrame:
     return (
         page.where("length(text_main) > 0 AND page_id IS NOT NULL")
         .select(F.col("page_id").cast("long"), F.col("text_main"), labels.alias("labels"))
-        .mapInArrow(run, "page_id long, sentences boolean, words long, bits double, ratio double, lang string, distinct_share double, label_share double, tag_share double")
+        .mapInArrow(run, "page_id long, sentences boolean, words long, bits double, ratio double, lang string, distinct_share double")
     )
 
 
@@ -173,7 +167,8 @@ def stuffed_pages(page: DataFrame) -> DataFrame:
     them decides). Null links, labels and languages are handled; page.lang is not trusted and not read.
     """
     one = shared_table(block_features(page), "stuffing")
-    # Half octaves of the length; a text in no recognised language is held against all that are.
+    # Half octaves of the length; a text in no recognised language is held against all that are. Lists are measured
+    # against the same usual ratios as sentences: what is usual is said by running text.
     half = F.floor(2 * F.col("bits"))
     prior = F.lit(A) + F.lit(B) * (F.col("half") + 0.5) / 2
     known = one.where("sentences AND lang <> 'none'").withColumn("half", half)
@@ -189,9 +184,7 @@ def stuffed_pages(page: DataFrame) -> DataFrame:
     # A row for each language and half octave: a bounded table.
     j = one.withColumn("half", half).join(F.broadcast(usual), ["lang", "half"], "left")
     red = F.col("ratio") / F.coalesce("usual", prior)
-    stuffed = (F.col("words") >= LEAST_WORDS) & F.when(
-        F.col("sentences"), (red >= EXTREME_SENTENCES) & (F.col("distinct_share") < DISTINCT)
-    ).otherwise((red >= EXTREME_LIST) | (F.col("label_share") >= LABELS) | (F.col("tag_share") >= TAGS))
+    stuffed = F.when(F.col("sentences"), (red >= EXTREME_SENTENCES) & (F.col("distinct_share") < DISTINCT)).otherwise(red >= EXTREME_LIST)
     per_page = j.groupBy("page_id").agg(
         (F.sum(F.when(stuffed, F.col("words")).otherwise(0)) / F.sum("words")).alias("stuffed_share")
     )
