@@ -196,6 +196,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want) > 60
 
 
+def test_sketches_tell_far_pairs_from_near_ones(spark):
+    r = np.random.default_rng(5)
+    with np.errstate(over="ignore"):
+        for s, low, high in ((0.6, 0.99, 1.0), (0.3, 0.0, 0.1), (0.0, 0.0, 0.0)):
+            pairs = []
+            for _ in range(100):
+                k = int(400 * s / (1 + s))
+                both = r.integers(0, 2**63, k, dtype=np.uint64)
+                a, b = (neardup.sketch(neardup._mix(np.concatenate([both, r.integers(0, 2**63, 200 - k, dtype=np.uint64)]))) for _ in "ab")
+                pairs.append((a, b))
+            d = spark.createDataFrame(pairs, "a array<long>, b array<long>").select(neardup.agreement(F.col("a"), F.col("b")).alias("n"))
+            share = sum(x.n >= neardup.least_agreement(0.6) for x in d.collect()) / 100
+            assert low <= share <= high
+
+
 def test_half_radius_balls_meet():
     from itertools import combinations
 
@@ -274,6 +289,20 @@ def test_leaks_against_brute_force(spark):
     assert leakage.matches(dd, ii.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_chunks(spark, monkeypatch):
+    long = prose(60, 9)
+    w = long.split()
+    # Items that overlap in the document, one whose words meet only once another's are gone, one id with two texts.
+    items = [(1, " ".join(w[:30])), (2, " ".join(w[20:50])), (3, " ".join(w[:7] + w[50:57])), (4, prose(20, 77)), (4, " ".join(w[30:45]))]
+    docs = [(1, long), (2, f"{prose(90, 3)}. {' '.join(w[20:50])}. {prose(80, 4)}"), (3, prose(50, 5)), (4, None)]
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    one = [sorted(map(tuple, f(dd, ii).collect())) for f in (leakage.matches, leakage.decontaminate)]
+    monkeypatch.setattr(leakage, "CHUNK_WORDS", 10)
+    assert len(leakage._chunks(ii, "item_id", "item_text")) == len(items)
+    assert [sorted(map(tuple, f(dd, ii).collect())) for f in (leakage.matches, leakage.decontaminate)] == one
+    assert {x[:2] for x in one[0]} == {(1, 1), (1, 2), (1, 4), (2, 2), (2, 4)} and one[0][0][3] == 50 / 60
+
+
 def test_cut_keeps_the_rest():
     t = "One, two (three) four; five. Six?"
     assert leakage.cut(t, [(1, 3)]) == "One, ) four; five. Six?"
@@ -314,6 +343,9 @@ def test_selection_is_the_prefix_in_key_order(spark):
             break
         want.add(d)
     assert got == want
+    # However coarse the slices and however few records may be sorted.
+    for slices, most in ((2, 1), (4, 3), (256, 1)):
+        assert {r.doc_id for r in mixing.select(c, plan, seed=3, slices=slices, most=most).where("times = 2").collect()} == want
 
 
 def test_mix_of_nothing(spark):

@@ -2,7 +2,9 @@
 
 The automaton of all normalised items is built once on the driver and broadcast; its size is proven small (linear in
 the items' words, and items beyond CHUNK_WORDS go to further automata). Training texts are streamed past it word by
-word in one narrow stage: no shuffle, no state between rows, any text length.
+word in narrow stages, one after the other for each automaton: no shuffle, no state between rows, any text length.
+What several automata find is held on the words of the original text and united before anything is counted or cut, so
+results do not depend on CHUNK_WORDS.
 """
 
 from __future__ import annotations
@@ -12,15 +14,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that must match in a row.
 MIN_WORDS = 13
 #: Share of a text's words inside leaked spans from which the whole text is to go.
 MAX_COVERAGE = 0.5
-#: Words of items in one automaton: at about 200 bytes a word this bounds what is broadcast at once to 100 MB.
-CHUNK_WORDS = 500_000
+#: Words of items in one automaton: at 670 bytes a word in memory (44 when it is sent), as measured
+#: with few repeated words, this bounds it to about 100 MB.
+CHUNK_WORDS = 150_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MARK = regex.compile(r"\p{Mn}+")
@@ -45,7 +48,7 @@ class Automaton:
         self.ids = [i for i, _ in items]
         self.vocab: dict[str, int] = {}
         nxt: list[dict[int, int]] = [{}]
-        link, length, who = [-1], [0], [0]
+        link, length, who = [-1], [0], [-1]
         last = 0
         for n, (_, text) in enumerate(items):
             # A symbol of its own ends each item, so that no match runs from one item into the next.
@@ -55,7 +58,7 @@ class Automaton:
                 nxt.append({})
                 length.append(length[last] + 1)
                 link.append(0)
-                who.append(1 << n)
+                who.append(n)
                 p = last
                 while p != -1 and c not in nxt[p]:
                     nxt[p][c] = cur
@@ -69,23 +72,24 @@ class Automaton:
                         nxt.append(dict(nxt[q]))
                         length.append(length[p] + 1)
                         link.append(link[q])
-                        who.append(0)
+                        who.append(-1)
                         while p != -1 and nxt[p].get(c) == q:
                             nxt[p][c] = twin
                             p = link[p]
                         link[q] = link[cur] = twin
                 last = cur
-        order = sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True)
-        for s in order:
-            who[link[s]] |= who[s]
         self.nxt, self.link, self.length, self.min_words = nxt, link, length, min_words
-        # For a state with min_words or more: the items that hold its last min_words words.
-        top: dict[int, int] = {}
-        for s in reversed(order):
+        # A state with min_words or more lies below one topmost such state, whose items hold its last min_words words.
+        # Every state is of one item at most, so all lists together are no longer than the items.
+        self.top: dict[int, int] = {}
+        found: dict[int, set[int]] = {}
+        for s in sorted(range(1, len(nxt)), key=length.__getitem__):
             if length[s] >= min_words:
                 up = link[s]
-                top[s] = top[up] if length[up] >= min_words else s
-        self.items_at = {s: who[t] for s, t in top.items()}
+                top = self.top[s] = self.top[up] if length[up] >= min_words else s
+                if who[s] >= 0:
+                    found.setdefault(top, set()).add(who[s])
+        self.items_at = {s: sorted(v) for s, v in found.items()}
 
     def scan(self, text: str) -> tuple[dict[int, int], list[tuple[int, int]], int]:
         """(item index -> longest match in words, leaked spans as word positions, words of the text)."""
@@ -100,7 +104,7 @@ class Automaton:
                 most = run
         if most < need:
             return {}, [], len(ws)
-        nxt, link, length, items_at = self.nxt, self.link, self.length, self.items_at
+        nxt, link, length, top, items_at = self.nxt, self.link, self.length, self.top, self.items_at
         state = ln = 0
         best: dict[int, int] = {}
         spans: list[list[int]] = []
@@ -122,13 +126,9 @@ class Automaton:
                     spans[-1][1] = at + 1
                 else:
                     spans.append([at - ln + 1, at + 1])
-                bits = items_at[state]
-                while bits:
-                    low = bits & -bits
-                    i = low.bit_length() - 1
+                for i in items_at[top[state]]:
                     if ln > best.get(i, 0):
                         best[i] = ln
-                    bits ^= low
         return best, [(a, b) for a, b in spans], len(ws)
 
 
@@ -148,41 +148,75 @@ def _chunks(items: DataFrame, item_id: str, item_text: str) -> list[list[tuple[i
     return [c for c in out if c]
 
 
-def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-            item_text: str = "item_text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, longest, coverage): documents that hold at least min_words consecutive words of an item.
+def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-    longest: words of the longest match with that item; coverage: share of the document's words inside spans that
-    leaked from any item of the same chunk. Null and empty texts match nothing; repeated texts each give their rows;
-    no items, no rows. A word longer or a text longer than usual makes no difference.
-    """
-    spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("coverage", pa.float64())])
-    ddl = "doc_id long, item_id long, longest int, coverage double"
-    out = None
-    for chunk in _chunks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(Automaton(chunk, min_words))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+
+_FOUND = "doc_id long, text string, words long, hits array<struct<item:bigint,longest:int>>, spans array<struct<a:int,b:int>>"
+_HITS = pa.list_(pa.struct([("item", pa.int64()), ("longest", pa.int32())]))
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _found(docs: DataFrame, chunks: list[list[tuple[int, str]]], doc_id: str, text: str, min_words: int, only: bool) -> DataFrame:
+    """(doc_id, text, words, hits, spans) of every document, or with `only` of those with a hit and without text. Each
+    automaton adds what it finds on the words of the unchanged text; the last one unites the spans."""
+    cur = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("words"),
+        F.expr("cast(array() as array<struct<item:bigint,longest:int>>)").alias("hits"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("spans"),
+    )
+    for k, chunk in enumerate(chunks):
+        sent = docs.sparkSession.sparkContext.broadcast(Automaton(chunk, min_words))
+        last = k == len(chunks) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             auto = sent.value
             for b in batches:
-                rows: list[tuple] = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    best, spans, n = auto.scan(t)
+                ids, texts, total, hits, spans = (b.column(i).to_pylist() for i in range(5))
+                for i, t in enumerate(texts):
+                    best, more, total[i] = auto.scan(t or "")
                     if best:
-                        covered = sum(e - s for s, e in spans) / n
-                        rows.extend((d, auto.ids[i], ln, covered) for i, ln in best.items())
+                        hits[i] = hits[i] + [{"item": auto.ids[n], "longest": v} for n, v in best.items()]
+                        own = [(s["a"], s["b"]) for s in spans[i]] + more
+                        spans[i] = [{"a": x, "b": y} for x, y in unite(own)]
+                keep = [i for i in range(len(ids)) if hits[i]] if last and only else range(len(ids))
+                kept = [None] * len(keep) if last and only else texts
+                pick = lambda c: [c[i] for i in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema
+                    [pa.array(pick(ids), pa.int64()), pa.array(kept, pa.string()), pa.array(pick(total), pa.int64()), pa.array(pick(hits), _HITS), pa.array(pick(spans), _SPANS)],
+                    names=["doc_id", "text", "words", "hits", "spans"],
                 )
 
-        part = (
-            docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-            .where("length(text) > 0 AND doc_id IS NOT NULL")
-            .mapInArrow(run, ddl)
-        )
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], ddl)
+        cur = cur.mapInArrow(run, _FOUND)
+    return cur.where(F.size("hits") > 0) if only else cur
+
+
+def _covered() -> Column:
+    """Words inside spans."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
+
+
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+            item_text: str = "item_text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, item_id, longest, coverage): documents that hold at least min_words consecutive words of an item.
+
+    longest: words of the longest match with that item; coverage: share of the document's words inside spans that
+    leaked from any item. Null and empty texts match nothing; repeated texts each give their rows; no items, no rows.
+    A word longer or a text longer than usual makes no difference. An item id with several texts counts as one item.
+    """
+    own = docs.where((F.length(text) > 0) & F.col(doc_id).isNotNull())
+    found = _found(own, _chunks(items, item_id, item_text), doc_id, text, min_words, True)
+    rows = found.select("doc_id", (_covered() / F.col("words")).alias("coverage"), F.explode("hits").alias("h"))
+    # One row for an item, whose texts may have been in several automata.
+    return rows.select("doc_id", F.col("h.item").alias("item_id"), F.col("h.longest").alias("longest"), "coverage").groupBy("doc_id", "item_id", "coverage").agg(
+        F.max("longest").alias("longest")
+    ).select("doc_id", "item_id", "longest", "coverage")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -191,39 +225,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """(doc_id, removed_words, coverage, dropped, clean): every document without its leaked spans.
 
     Spans of min_words or more are cut out; where they cover more than max_coverage of the words the document is
-    dropped (clean is null). Documents without a leak come back as they are. With several chunks of items they are
-    cut one after the other.
+    dropped (clean is null). Documents without a leak come back as they are, null texts as ''. All spans are of the
+    original text and cut at once.
     """
-    spark = docs.sparkSession
-    ddl = "doc_id long, removed_words long, words long, clean string"
-    cur = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("removed_words"),
-        F.lit(None).cast("long").alias("words"), F.coalesce(F.col(text), F.lit("")).alias("clean"),
-    )
-    for chunk in _chunks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(Automaton(chunk, min_words))
+    found = _found(docs, _chunks(items, item_id, item_text), doc_id, text, min_words, False)
+    j = found.withColumn("removed_words", _covered()).withColumn("coverage", F.col("removed_words") / F.greatest("words", F.lit(1)))
+    ddl = "doc_id long, removed_words long, coverage double, dropped boolean, clean string"
+    j = j.select("doc_id", "removed_words", "coverage", (F.col("coverage") > max_coverage).alias("dropped"), F.coalesce("text", F.lit("")).alias("clean"), "spans")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            auto = sent.value
-            for b in batches:
-                d, gone, total, texts = (b.column(i).to_pylist() for i in range(4))
-                for i, t in enumerate(texts):
-                    _, spans, n = auto.scan(t)
-                    total[i] = n if total[i] is None else total[i]
-                    if spans:
-                        texts[i] = cut(t, spans)
-                        gone[i] += sum(e - s for s, e in spans)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, pa.int64()), pa.array(gone, pa.int64()), pa.array(total, pa.int64()), pa.array(texts, pa.string())],
-                    names=["doc_id", "removed_words", "words", "clean"],
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(4).to_pylist()
+            for i, (gone, spans) in enumerate(zip(b.column(3).to_pylist(), b.column(5).to_pylist())):
+                texts[i] = None if gone else cut(texts[i], [(s["a"], s["b"]) for s in spans]) if spans else texts[i]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.string())], names=["doc_id", "removed_words", "coverage", "dropped", "clean"])
 
-        cur = cur.mapInArrow(run, ddl)
-    cover = F.col("removed_words") / F.greatest(F.coalesce("words", F.lit(1)), F.lit(1))
-    return cur.select(
-        "doc_id", "removed_words", cover.alias("coverage"), (cover > max_coverage).alias("dropped"),
-        F.when(cover <= max_coverage, F.col("clean")).alias("clean"),
-    )
+    return j.mapInArrow(run, ddl)
 
 
 _RUN = regex.compile(r"[\p{L}\p{N}\p{Mn}]+")

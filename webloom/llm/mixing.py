@@ -12,8 +12,9 @@ from ..runtime import shared_table
 
 #: File of a public tokenizer (tiktoken ranks); read by every worker, never copied.
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Slices of the key range per source; only the slice in which the budget ends is sorted.
-SLICES = 256
+#: Slices a range of keys is cut into; only the slice in which the budget ends is looked at further, and it is cut
+#: again until it holds at most SORTED records, which are then sorted. A power of two, so that borders are exact.
+SLICES, SORTED = 256, 200_000
 #: Characters handed to the tokenizer at once. Longer texts are counted piece by piece, cut at a blank before a word,
 #: where this tokenizer's pre-split always has a border, so the count is the same.
 PIECE = 100_000
@@ -130,32 +131,59 @@ def plan(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None
     )
 
 
-def select(counted: DataFrame, planned: DataFrame, seed: int = 0, slices: int = SLICES) -> DataFrame:
+def border(keyed: DataFrame, rest: dict[str, float], slices: int = SLICES, most: int = SORTED) -> list[tuple[str, float, float, int]]:
+    """(source, from, to, tokens before) of the range of positions in which each source's rest ends, at most `most`
+    records wide where positions differ.
+
+    keyed: (source, at, tokens), at: position in [0, 1). Each round sums the tokens of `slices` slices of every open
+    range; what comes to the driver is one row per source (a row per source of the targets, a fixed table).
+    """
+    spark = keyed.sparkSession
+    done: list[tuple[str, float, float, int]] = []
+    open_ = [(s, 0.0, 1.0, 0, r) for s, r in rest.items() if r > 0]
+    ddl = "source string, lo double, hi double, base long, rest double"
+    while open_:
+        now = F.broadcast(spark.createDataFrame(open_, ddl))
+        at = F.floor((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices)
+        inside = keyed.join(now, "source").where("at >= lo AND at < hi").groupBy("source", "lo", "hi", "base", "rest", at.alias("slice"))
+        sums = inside.agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("records"))
+        w = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.col("base") + F.sum("n").over(w)).where("upto > rest")
+        first = sums.groupBy("source", "lo", "hi", "rest").agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("n")).alias("before"), "records"), "slice").alias("f"))
+        left = {s: (lo, hi, base, r) for s, lo, hi, base, r in open_}
+        open_ = []
+        for x in first.collect():
+            lo, hi, _, r = left.pop(x.source)
+            step = (hi - lo) / slices
+            a, b = lo + x.f.slice * step, lo + (x.f.slice + 1) * step
+            if x.f.records <= most or not lo < b < hi or step < 1e-13:
+                done.append((x.source, a, b, x.f.before))
+            else:
+                open_.append((x.source, a, b, x.f.before, r))
+        # A source whose records all fit has no border.
+    return done
+
+
+def select(counted: DataFrame, planned: DataFrame, seed: int = 0, slices: int = SLICES, most: int = SORTED) -> DataFrame:
     """(doc_id, source, tokens, times) of every record used: complete epochs, then the records with the lowest keys
     as long as their running sum of tokens stays within the rest.
 
-    The running sum is taken in two steps, so that a source with most of the rows is nowhere sorted as a whole: sums
-    by slice of the key range (a bounded table: slices x sources), then row by row in the one slice where the budget
-    ends. Ties of keys are ordered by doc_id.
+    The running sum is taken from coarse to fine: sums by slice of the key range, then by slice of the slice in which
+    the budget ends, until few records are left to be sorted; no source is sorted as a whole, whatever its size. Ties
+    of keys are ordered by doc_id.
     """
-    keyed = counted.withColumn("key", sampling_key(seed)).join(
-        F.broadcast(planned.select("source", "epochs", "rest")), "source"
-    )
-    # A monotone map of (0, inf) to slices, finer where the keys are.
-    keyed = keyed.withColumn("slice", F.floor((1 - F.exp(-F.col("key") / 2)) * slices))
-    sums = keyed.where("rest > 0").groupBy("source", "slice").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("source", "slice", "before", "n")
-    keyed = keyed.join(F.broadcast(sums), ["source", "slice"], "left")
-    border = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))
-    run = (
-        Window.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    inside = keyed.where(border).withColumn("upto", F.col("before") + F.sum("tokens").over(run))
+    # A monotone map of (0, inf) to [0, 1), finer where the keys are.
+    keyed = counted.withColumn("key", sampling_key(seed)).withColumn("at", F.least(1 - F.exp(-F.col("key") / 2), F.lit(1 - 2.0**-53)))
+    rest = {r.source: r.rest for r in planned.select("source", "rest").collect()}  # a row per source of the targets
+    ends = border(keyed.select("source", "at", "tokens"), rest, slices, most)
+    at = counted.sparkSession.createDataFrame(ends, "source string, lo double, hi double, before long")
+    keyed = keyed.join(F.broadcast(planned.select("source", "epochs", "rest")), "source").join(F.broadcast(at), "source", "left")
+    run = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.coalesce((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), F.lit(False))
+    inside = keyed.where(edge).withColumn("upto", F.col("before") + F.sum("tokens").over(run))
     inside = inside.withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int"))
-    clear = keyed.where(~F.coalesce(border, F.lit(False))).withColumn(
-        "extra", F.coalesce((F.col("before") + F.col("n") <= F.col("rest")).cast("int"), F.lit(0))
-    )
+    whole = F.col("lo").isNull() | (F.col("at") < F.col("lo"))
+    clear = keyed.where(~edge).withColumn("extra", (whole & (F.col("rest") > 0)).cast("int"))
     cols = ["doc_id", "source", "tokens", (F.col("epochs") + F.col("extra")).alias("times")]
     return clear.select(*cols).unionByName(inside.select(*cols)).where("times > 0")
 

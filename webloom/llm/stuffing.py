@@ -26,6 +26,8 @@ from ..runtime import shared_table
 
 #: Redundancy (ratio over the usual ratio) from which a block is extreme: with and without sentence punctuation.
 EXTREME_SENTENCES, EXTREME_LIST = 1.65, 1.2
+#: Bytes a block must be smaller than usual when compressed: less can come about by chance (a word said twice).
+EVIDENCE = 8
 #: Marks of sentence ends per word below which a line is no sentence.
 LOW_PUNCTUATION = 0.04
 #: Share of distinct words below which redundant sentences count as stuffing.
@@ -184,7 +186,11 @@ def stuffed_pages(page: DataFrame) -> DataFrame:
     # A row for each language and half octave: a bounded table.
     j = one.withColumn("half", half).join(F.broadcast(usual), ["lang", "half"], "left")
     red = F.col("ratio") / F.coalesce("usual", prior)
-    stuffed = F.when(F.col("sentences"), (red >= EXTREME_SENTENCES) & (F.col("distinct_share") < DISTINCT)).otherwise(red >= EXTREME_LIST)
+    size = F.pow(F.lit(2.0), "bits")
+    saved = size / F.coalesce("usual", prior) - size / F.col("ratio")
+    stuffed = (saved >= EVIDENCE) & F.when(
+        F.col("sentences"), (red >= EXTREME_SENTENCES) & (F.col("distinct_share") < DISTINCT)
+    ).otherwise(red >= EXTREME_LIST)
     per_page = j.groupBy("page_id").agg(
         (F.sum(F.when(stuffed, F.col("words")).otherwise(0)) / F.sum("words")).alias("stuffed_share")
     )
