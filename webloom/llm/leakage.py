@@ -79,17 +79,28 @@ class Automaton:
                         link[q] = link[cur] = twin
                 last = cur
         self.nxt, self.link, self.length, self.min_words = nxt, link, length, min_words
-        # A state with min_words or more lies below one topmost such state, whose items hold its last min_words words.
-        # Every state is of one item at most, so all lists together are no longer than the items.
-        self.top: dict[int, int] = {}
-        found: dict[int, set[int]] = {}
-        for s in sorted(range(1, len(nxt)), key=length.__getitem__):
+        # For a state of min_words or more: the items that hold its words, and the next shorter such state that more
+        # items hold (or -1). States with the same items share one tuple.
+        order = sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True)
+        held: dict[int, set[int]] = {}
+        for s in order:
+            if length[s] < min_words:
+                break
+            own = held.setdefault(s, set())
+            if who[s] >= 0:
+                own.add(who[s])
+            if length[link[s]] >= min_words:
+                held.setdefault(link[s], set()).update(own)
+        same: dict[tuple, tuple] = {}
+        self.items_at = {s: same.setdefault(t, t) for s, t in ((s, tuple(sorted(v))) for s, v in held.items())}
+        self.wider: dict[int, int] = {}
+        for s in reversed(order):
             if length[s] >= min_words:
                 up = link[s]
-                top = self.top[s] = self.top[up] if length[up] >= min_words else s
-                if who[s] >= 0:
-                    found.setdefault(top, set()).add(who[s])
-        self.items_at = {s: sorted(v) for s, v in found.items()}
+                if length[up] < min_words:
+                    self.wider[s] = -1
+                else:
+                    self.wider[s] = up if self.items_at[up] is not self.items_at[s] else self.wider[up]
 
     def scan(self, text: str) -> tuple[dict[int, int], list[tuple[int, int]], int]:
         """(item index -> longest match in words, leaked spans as word positions, words of the text)."""
@@ -104,7 +115,7 @@ class Automaton:
                 most = run
         if most < need:
             return {}, [], len(ws)
-        nxt, link, length, top, items_at = self.nxt, self.link, self.length, self.top, self.items_at
+        nxt, link, length, items_at, wider = self.nxt, self.link, self.length, self.items_at, self.wider
         state = ln = 0
         best: dict[int, int] = {}
         spans: list[list[int]] = []
@@ -126,9 +137,13 @@ class Automaton:
                     spans[-1][1] = at + 1
                 else:
                     spans.append([at - ln + 1, at + 1])
-                for i in items_at[top[state]]:
-                    if ln > best.get(i, 0):
-                        best[i] = ln
+                at_state, n = state, ln
+                while at_state >= 0:  # items of shorter matches that end here, too
+                    for i in items_at[at_state]:
+                        if n > best.get(i, 0):
+                            best[i] = n
+                    at_state = wider[at_state]
+                    n = length[at_state]
         return best, [(a, b) for a, b in spans], len(ws)
 
 
