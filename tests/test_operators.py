@@ -52,6 +52,17 @@ def test_orphans_against_brute_force(spark):
     assert {r.ref_id for r in make(spark, pages, refs).collect()} == want
 
 
+def test_hot_slices_are_cut_into_parts(spark):
+    rnd = random.Random(4)
+    parents = [(bytes([k]), day(o), day(None if k == 2 else o + rnd.randrange(1, 9))) for k, o in ((rnd.randrange(3), rnd.randrange(80)) for _ in range(12))]
+    refs = [("x", i, rnd.choice([bytes([rnd.randrange(4)]), bytes([0]), None]), day(rnd.choice([12, rnd.randrange(90), None]))) for i in range(300)]
+    pp = spark.createDataFrame(parents, "k binary, opened timestamp_ntz, closed timestamp_ntz")
+    rr = spark.createDataFrame(refs, "src string, id long, k binary, t timestamp_ntz")
+    whole = sorted((r.id, r.state) for r in orphans.classify(rr, pp).collect())
+    cut = sorted((r.id, r.state) for r in orphans.classify(rr, pp, part=7).collect())
+    assert cut == whole and {s for _, s in whole} == {"ok", "missing", "deleted", "late", "undated"}
+
+
 def test_orphans_of_empty_tables(spark):
     assert make(spark, [], []).count() == 0
     assert make(spark, [], [(1, 1, "http://a.test/", 1)]).count() == 1
@@ -60,7 +71,7 @@ def test_orphans_of_empty_tables(spark):
 def flat(spark, ld, meta=None):
     rows = [(1, ld, meta), (1, ld, meta)]
     p = spark.createDataFrame(rows, "page_id long, jsonld array<string>, meta map<string,string>").withColumn("text", F.lit("clash"))
-    return {tuple(r)[1:5] for r in nested.flatten_json(p).collect()}
+    return {tuple(r)[1:5] for r in nested.flatten_json(p, canonical=False).where("kind = 'object'").collect()}
 
 
 def test_paths(spark):
@@ -76,7 +87,7 @@ def test_paths(spark):
 def test_depth_beyond_the_recursion_limit():
     n = 5000
     for text, count in (("[" * n + "{}" + "]" * n, 1), ('{"a":' * n + "1" + "}" * n, n)):
-        assert len(nested.occurrences(nested.parse(text))) == count
+        assert sum(k == "object" for _, _, k, *_ in nested.occurrences(nested.parse(text))) == count
     with pytest.raises(ValueError):
         nested.parse("[" * n)
 
@@ -94,7 +105,7 @@ def test_deep_parser_agrees_with_the_fast_one():
 
     for _ in range(300):
         text = json.dumps(value(5), indent=rnd.choice([None, 1]))
-        assert nested._deep(text) == json.loads(text, object_pairs_hook=nested.Members)
+        assert nested._deep(text) == json.loads(text, object_pairs_hook=nested.Members, parse_int=nested.Number)
     for bad in ("{", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "]", '{"a":1}x', "nul", ""):
         with pytest.raises((ValueError, StopIteration, IndexError)):
             nested._deep(bad)
@@ -102,25 +113,37 @@ def test_deep_parser_agrees_with_the_fast_one():
 
 def test_merkle_identities():
     a = nested.occurrences(nested.parse('{"x": {"p": 1, "q": [2, {"r": 3}]}, "y": {"q": [2, {"r": 3}], "p": 1}, "z": {"p": 1.5}}'))
-    ident = {path: h for path, _, h, *_ in a}
+    ident = {path: h for path, _, _, h, *_ in a}
     assert ident["$.x"] == ident["$.y"] != ident["$.z"]
-    assert ident["$.x.q[1]"] == ident["$.y.q[1]"]
-    assert [o for *_, o, _ in a if o >= 0][0] == 0
+    assert ident["$.x.q[1]"] == ident["$.y.q[1]"] and ident["$.x.q"] == ident["$.y.q"]
+    assert [(path, o) for path, *_, o, _ in a][:4] == [("$", 0), ("$.x", 0), ("$.x.q", 1), ("$.x.q[1]", 1)]
 
 
-def test_round_trip_from_bridge_and_objects(spark):
-    text = '{"n": 1, "kids": [{"n": 2}, {"n": 2, "kids": []}], "one": {"n": null, "deep": [[{"n": 2}]]}}'
-    p = spark.createDataFrame([(1, [text], None)], "page_id long, jsonld array<string>, meta map<string,string>")
+def tables(p):
     bridge = nested.flatten_json(p)
-    store = {r.node_hash: json.loads(r.canon) for r in nested.objects(bridge).collect()}
-    root = next(r.node_hash for r in bridge.collect() if r.node_path == "$")
-    # Objects alone rebuild members; arrays of objects are named by identity.
-    members = dict(store[root]["object"])
-    assert members["n"] == 1 and set(members) == {"n", "kids", "one"}
-    assert store[members["one"]["node"]]["object"][1] == ["n", None]
-    assert len(store) == 4  # {"n": 2} is stored once though it occurs twice
-    flat_members = {(r.key, r.value) for r in nested.attributes(nested.objects(bridge)).collect()}
-    assert flat_members == {("n", "1"), ("n", "2"), ("n", None)}
+    stored = nested.objects(bridge)
+    return bridge.collect(), {r.node_hash: r.canon for r in stored.collect()}, nested.attributes(stored).collect()
+
+
+def test_round_trip_from_bridge_objects_and_attributes(spark):
+    texts = [
+        '{"n": 1, "kids": [{"n": 2}, {"n": 2, "kids": []}], "one": {"n": null, "deep": [[{"n": 2}]]}}', '{"sameAs": ["https://a", "https://b"], "t": true}',
+        '{"s": "{\\"node\\":1}", "x": "r", "big": 1e400, "exact": 1.50, "k": 1, "k": "2"}', '[1, "1", null, false, [], {}, "", {"": 0}]', '[[{"a": [0.1]}], "\\ud83d\\ude00", "é"]', "{broken",
+    ]
+    p = spark.createDataFrame([(1, texts, {"m": '{"a": ["x", {"b": null}]}'})], "page_id long, jsonld array<string>, meta map<string,string>")
+    bridge, canon, flat = tables(p)
+    by_key = lambda v: nested.Members(sorted(((k, by_key(x)) for k, x in v), key=lambda m: m[0])) if isinstance(v, nested.Members) else [by_key(x) for x in v] if isinstance(v, list) else v
+    roots = {(r.field_name, r.item_key): r.node_hash for r in bridge if r.node_path == "$"}
+    for (field, item), h in roots.items():
+        text = texts[int(item)] if field == "jsonld" else '{"a": ["x", {"b": null}]}'
+        want = by_key(nested.parse(text))
+        got = nested.rebuild(h, canon)
+        assert got == want and type(got) is type(want)
+    assert len(roots) == 6
+    # The attributes hold every scalar with its type, none twice.
+    assert {(r.key, r.type, r.value) for r in flat} >= {(None, "string", "https://a"), ("big", "number", "1e400"), ("exact", "number", "1.50"), ("s", "string", '{"node":1}'), (None, "null", None), ("t", "boolean", "true")}
+    scalars = sum(len([m for m in next(iter(s.values())) if m[-2] != "r"]) for s in map(json.loads, canon.values()))
+    assert len(flat) == scalars and len({(r.node_hash, r.ordinal) for r in flat}) == len(flat)
 
 
 def test_prefix_join_against_brute_force(spark):

@@ -3,7 +3,8 @@
 References and parent keys are put in one stream, co-partitioned by key (and a slice of time) and sorted by time; one
 linear pass over each sorted partition then knows at every reference how many parents are open. There is no join of
 references with parents, so neither a key with a third of all references nor one with a third of all parents is ever
-multiplied out.
+multiplied out. The stream of a key is cut into slices of time, and a slice with very many references into salted
+parts, each with the slice's few parent steps.
 """
 
 from __future__ import annotations
@@ -11,11 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..functions.url import normalize_url
+from ..runtime import shared_table
 
 #: Length of a slice of time in days. A hot key's stream is cut at slice borders; what is open at a border is
 #: carried in as one row. Any length gives the same result.
 SLICE_DAYS = 1
+#: References of one key in one slice from which the slice is cut into parts of so many references. Any number gives
+#: the same result. Such slices are at most one in PART references; up to HOT_SLICES of them are broadcast, more are
+#: joined.
+PART, HOT_SLICES = 200_000, 100_000
 
 
 def _key(*cols: Column) -> Column:
@@ -42,13 +49,18 @@ def parent_intervals(pages: DataFrame) -> DataFrame:
     )
 
 
+def _usable(u: Column, k: Column) -> Column:
+    """The key of a usable address, else null: what is no address equals no page's."""
+    return F.when(u != "", k)
+
+
 def references(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
-    """(src, id, k, t) of every reference; tables: name -> (table, id, address, time)."""
+    """(src, id, k, t) of every reference; tables: name -> (table, id, address, time). k is null for what is no address."""
     parts = [
         df.select(
             F.lit(name).alias("src"),
             F.col(i).alias("id"),
-            _key(F.col("site_id"), normalize_url(u)).alias("k"),
+            bind(normalize_url(u), lambda x: _usable(x, _key(F.col("site_id"), x))).alias("k"),
             F.col(t).alias("t"),
         )
         for name, (df, i, u, t) in tables.items()
@@ -59,13 +71,24 @@ def references(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
     return out
 
 
-def classify(refs: DataFrame, parents: DataFrame, slice_days: int = SLICE_DAYS) -> DataFrame:
+def _salted(rows: DataFrame, parts: DataFrame, one: bool) -> DataFrame:
+    """rows (k, s, ...) with a salt: `one` of each hot slice's parts, or all of them."""
+    j = rows.join(parts, ["k", "s"], "left")
+    n = F.coalesce("parts", F.lit(1).cast("long"))
+    salt = F.pmod(F.xxhash64("src", "id"), n) if one else F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    return j.withColumn("salt", salt).drop("parts")
+
+
+def classify(refs: DataFrame, parents: DataFrame, slice_days: int = SLICE_DAYS, part: int = PART) -> DataFrame:
     """refs with `state`: 'ok', or 'missing' (no parent is known at any time), 'deleted' (parents were there, none is
     left), 'late' (none yet, one comes later).
 
     refs: (src, id, k, t), parents: (k, opened, closed). A reference without a time can't be placed: its state is
-    'missing' if no parent has its key, else 'ok' is not claimed and it is 'undated'. Repeated references stay.
+    'missing' if no parent has its key, else 'ok' is not claimed and it is 'undated'. A null key is 'missing'. Repeated
+    references stay. refs is read several times and should be a stored table.
     """
+    lost = refs.where("k IS NULL").select("src", "id", "t", F.lit("missing").alias("state"))
+    refs = refs.where("k IS NOT NULL")
     sl = lambda t: F.floor(F.unix_date(F.to_date(t)) / slice_days)
     opened = parents.select("k", F.col("opened").alias("t"), F.lit(1).alias("d"), F.lit(1).alias("o"))
     closed = parents.where(F.col("closed").isNotNull()).select(
@@ -76,7 +99,11 @@ def classify(refs: DataFrame, parents: DataFrame, slice_days: int = SLICE_DAYS)
 
     # What is open at the start of a slice: sums by slice, then a running sum by key over slices (at most one row a
     # day and key, never one a reference).
-    wanted = refs.select("k", sl(F.col("t")).alias("s")).distinct()
+    wanted = refs.groupBy("k", sl(F.col("t")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    hot = wanted.where((F.col("n") > part) & F.col("s").isNotNull()).select("k", "s", F.ceil(F.col("n") / part).alias("parts"))
+    n_hot = hot.limit(HOT_SLICES + 1).count()
+    if 0 < n_hot <= HOT_SLICES:
+        hot = F.broadcast(hot)
     by_slice = (
         steps.select("k", sl(F.col("t")).alias("s"), "d", "o")
         .unionByName(wanted.select("k", "s", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("o")))
@@ -107,10 +134,14 @@ def classify(refs: DataFrame, parents: DataFrame, slice_days: int = SLICE_DAYS)
         "k", sl(F.col("t")).alias("s"), "t", F.lit(2).alias("kind"), zero.alias("d"), zero.alias("o"),
         zero.alias("ever"), "src", "id",
     )
-    stream = head.unionByName(mid).unionByName(tail)
+    if n_hot:
+        # Steps and head of a hot slice go to each of its parts, a reference to one of them.
+        stream = _salted(head.unionByName(mid), hot, False).unionByName(_salted(tail, hot, True))
+    else:
+        stream = head.unionByName(mid).unionByName(tail).withColumn("salt", F.lit(0).cast("long"))
     # The slice's head row has no time and sorts first; parents come before references of the same moment.
     run = (
-        Window.partitionBy("k", "s")
+        Window.partitionBy("k", "s", "salt")
         .orderBy(F.col("t").asc_nulls_first(), "kind")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -129,6 +160,7 @@ def classify(refs: DataFrame, parents: DataFrame, slice_days: int = SLICE_DAYS)
             .otherwise("late")
             .alias("state"),
         )
+        .unionByName(lost)
     )
 
 
@@ -145,7 +177,7 @@ def orphan_references(page: DataFrame, link_edge: DataFrame, sitemap_entry: Data
             "fetch_failure": (fetch_failure, "failure_id", "url", "failed_at"),
         }
     ).where(F.col("t").isNotNull() & F.col("id").isNotNull())
-    found = classify(refs, parent_intervals(page)).where("state <> 'ok'")
+    found = classify(shared_table(refs, "references"), parent_intervals(page)).where("state <> 'ok'")
     return found.select(F.col("src").alias("ref_table"), F.col("id").alias("ref_id"), "t", "state").distinct()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import nested, orphans
-from .runtime import load
+from .runtime import load, shared_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,7 +73,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).select("ref_table", "ref_id", F.date_format("t", "yyyy-MM").alias("period")).distinct()
 
 
-@query("p6_report", None)
+_P6_STATE = _P6_SQL + """,
+keyed AS (SELECT b.ref_table, b.ref_id, b.t, count(p.page_id) FILTER (p.closed IS NULL OR p.closed > p.opened) known,
+    count(p.page_id) FILTER (p.opened <= b.t AND (p.closed IS NULL OR p.closed > p.opened)) before
+  FROM bad b JOIN refs r USING (ref_table, ref_id, t) LEFT JOIN par p ON p.site_id = r.site_id AND p.u = r.u AND r.u <> '' GROUP BY ALL)
+SELECT ref_table, strftime(t, '%Y-%m') AS period, CASE WHEN known = 0 THEN 'missing' WHEN before > 0 THEN 'deleted' ELSE 'late' END AS state, count(*) AS n_refs
+FROM keyed GROUP BY ALL
+"""
+
+
+@query("p6_report", _P6_STATE)
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_p6(spark, d))
 
@@ -97,25 +106,47 @@ FROM up
 @query("p7_found", _P7_SQL)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return (
-        nested.flatten_json(load(spark, d, "page"))
+        nested.flatten_json(load(spark, d, "page"), canonical=False).where("kind = 'object'")
         .select("page_id", "field_name", "item_key", "node_path", "parent_path")
         .distinct()
     )
 
 
-@query("p7_objects", None)
+# The tree of every text, containers with their minified text (the tables' equal objects list members in one order).
+_P7_TREE = _P7_SQL.split("nodes AS")[0] + r"""
+tree AS (SELECT page_id, field_name, item_key, n.id, n.parent, n.key, n.type, n.fullkey fk, n.value::VARCHAR v, n.atom FROM ok, json_tree(ok.j) n WHERE ok.j <> 'null'),
+sib AS (SELECT *, row_number() OVER (PARTITION BY page_id, field_name, item_key, parent ORDER BY id) - 1 AS ordinal FROM tree),
+box AS (SELECT *, lower(type) kind, replace(fk, '"', '') node_path, regexp_replace(fk, '\.("[^"]*"|[^."\[\]]+)(\[[0-9]+\])*$', '') par FROM sib WHERE type IN ('OBJECT', 'ARRAY'))
+""".replace("\\\\", "\\")
+
+
+@query(
+    "p7_objects",
+    _P7_TREE + """SELECT kind, CASE kind WHEN 'object' THEN len(json_keys(v::JSON)) ELSE json_array_length(v::JSON) END::INT AS n_members, count(*) AS n_occurrences, min(page_id) AS first_page, min(node_path) AS first_path
+    FROM box GROUP BY kind, v""",
+)
 def p7_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(nested.flatten_json(load(spark, d, "page")))
+    """Every distinct object and array once: members, occurrences, where it is first met."""
+    bridge = shared_table(nested.flatten_json(load(spark, d, "page")), "bridge")
+    at = bridge.groupBy("node_hash").agg(F.min("page_id").alias("first_page"), F.min("node_path").alias("first_path"))
+    shape = F.from_json("canon", F.lit("struct<object:array<array<string>>,array:array<array<string>>>"))
+    n = F.when(F.col("kind") == "object", F.size(shape["object"])).otherwise(F.size(shape["array"]))
+    return nested.objects(bridge).join(at, "node_hash").select("kind", n.alias("n_members"), "n_occurrences", "first_page", "first_path")
 
 
-@query("p7_bridge", None)
+@query("p7_bridge", _P7_TREE + "SELECT page_id, field_name, item_key, node_path, CASE WHEN par = fk THEN '' ELSE replace(par, '\"', '') END AS parent_path, kind, ordinal::INT AS ordinal FROM box")
 def p7_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_json(load(spark, d, "page")).select(
-        "page_id", "field_name", "item_key", "node_path", "node_hash", "parent_hash", "ordinal"
-    )
-
+    """Every occurrence of an object or array, with its place in its container."""
+    return nested.flatten_json(load(spark, d, "page")).select("page_id", "field_name", "item_key", "node_path", "parent_path", "kind", "ordinal")
 
 
-@query("p7_attributes", None)
+@query(
+    "p7_attributes",
+    _P7_TREE + """SELECT CASE b.kind WHEN 'object' THEN t.key END AS key, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type,
+    t.atom->>'$' AS value, count(DISTINCT b.v) AS n_nodes FROM tree t JOIN box b ON b.page_id = t.page_id AND b.field_name = t.field_name AND b.item_key = t.item_key AND b.id = t.parent
+    WHERE t.type NOT IN ('OBJECT', 'ARRAY') GROUP BY 1, 2, 3""",
+)
 def p7_attributes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.attributes(nested.objects(nested.flatten_json(load(spark, d, "page"))))
+    """Scalar members and elements, with the number of stored objects and arrays that hold them."""
+    flat = nested.attributes(nested.objects(nested.flatten_json(load(spark, d, "page"))))
+    return flat.groupBy("key", "type", "value").agg(F.countDistinct("node_hash").alias("n_nodes"))
