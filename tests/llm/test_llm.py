@@ -237,29 +237,58 @@ def test_boosted_trees_learn_and_repeat():
 
 
 def test_boilerplate_on_held_out_composed_pages():
-    m = boosting.BoostedTrees(trees=60).fit(*boilerplate.training_set([]))
+    m = boilerplate.fit()
     hit = total = 0
-    for lines, labels, links, chrome, heads in boilerplate.composed_pages(200, seed=99):
-        x = boilerplate.page_features(lines, boilerplate.label_words(links), boilerplate.chrome_sets(chrome), frozenset(h.lower() for h in heads))
+    for lines, labels, links, chrome, heads, body in boilerplate.composed_pages(200, seed=99):
+        x, _ = boilerplate.page_features(lines, links, boilerplate.chrome_sets(chrome), frozenset(h.lower() for h in heads), body)
         hit += int(((m.decision(x) > 0) == (np.array(labels) > 0)).sum())
         total += len(labels)
     assert hit / total > 0.97
+    # What the document shows counts: the same line in the content and in a navigation element.
+    line = "Garden tools and other wares of the yard"
+    inside, outside = (
+        boilerplate.page_features([line], [], frozenset(), frozenset(), f"<body><main><p>x y z</p><p>{line}</p></main></body>".replace("<p>" + line, f"</main><{t} class='navbar'>" + line) if t else f"<body><main><p>x y z</p><p>{line}</p></main></body>")[0]
+        for t in ("", "nav")
+    )
+    assert m.decision(outside)[0] > m.decision(inside)[0]
+
+
+def test_nodes_of_documents():
+    body = "<html><head><title>no</title></head><body><nav class=top>A &amp; B <a href=x>C</a></nav><!-- <p>gone</p> --><main><div id='story'><p>One <b>two</b> three<p>Four<br>five</div><script>if (a < b) {}</script></main><footer>F</body>"
+    got = boilerplate.dom_blocks(body)
+    assert [t for t, _ in got] == ["A & B C", "One two three", "Four five", "F"]
+    assert [n.role for _, n in got] == [1, -1, -1, 1]
+    feats, box = boilerplate.line_nodes(["F", "One two three", "absent", "A & B C"], body)
+    assert box == [0, -1, -1, 1] and feats[2] == [-1.0] * boilerplate.DOM and all(len(f) == boilerplate.DOM for f in feats)
+    for odd in ("", "<", "<p", "</p></div>", "<p>a" * 3000, "a < b > c", "<a href='\"'>x"):
+        boilerplate.dom_blocks(odd)
 
 
 def test_boilerplate_lines(spark):
     para = "The fitters of the yard set the wrench by hand in the morning, and it holds for a year in dry air. The guide explains how a baker stored its lamp, so nobody has to guess."
-    text = "\n".join(["Home · Products · News · Contact", para, "Related: desk lamp; wall clock; tea pot", "Desk lamp and handle", para, "Store cookies and dry cakes beside the lamp, never in tin boxes.", "", "© 2024 Yard Tools. All rights reserved."])
-    p = pages(spark, [(1, {"text_main": text}), (1, {"text_main": text}), (2, {"text_main": None}), (3, {"text_main": para}), (4, {"text_main": "Page not found\nHome · News · Contact"})])
-    lines = boilerplate.boilerplate_lines(p)
-    assert {(r.page_id, r.line_no) for r in lines.collect()} == {(1, 0), (1, 2), (1, 7)}
+    notice = (
+        "We and our 12 partners store cookies on your device. Some cookies are necessary, others help us to measure visits and show adverts that fit. You may accept all of them or reject those that are not needed. "
+        "Your consent can be taken back at any time in the settings. Partners keep data for a year at most, and some of them process it abroad. Manage your privacy choices here: statistics, adverts, necessary. Save and close."
+    )
+    text = "\n".join(["Home · Products · News · Contact", para, "Related: desk lamp; wall clock; tea pot", "Desk lamp and handle", para, "Store cookies and dry cakes beside the lamp, never in tin boxes.", "", "© 2024 Yard Tools. All rights reserved.", notice])
+    p = pages(spark, [(1, {"text_main": text}), (1, {"text_main": text}), (2, {"text_main": None}), (3, {"text_main": para}), (4, {"text_main": "Page not found\nHome · News · Contact"}), (5, {"text_main": text})])
+    body = "<body><main>" + "".join(f"<p>{x}</p>" for x in text.split("\n")) + "</main></body>"
+    cap = caps(spark, [(5, "<p>older</p>"), (5, body), (3, None), (77, body)])
+    want = {(i, k) for i in (1, 5) for k in (0, 2, 7, 8)}
+    lines = boilerplate.boilerplate_lines(p, cap)
+    assert {(r.page_id, r.line_no) for r in lines.collect()} == want
+    model = boilerplate.fit()
+    assert {(r.page_id, r.line_no) for r in boilerplate.boilerplate_lines(p, model=model).collect()} == want
     body = {r.page_id: r.body for r in boilerplate.main_body(p, lines).collect()}
     assert body[3] == para and body[1].split("\n")[0] == para and "©" not in body[1]
-    assert boilerplate.boilerplate_lines(pages(spark, [])).count() == 0
+    assert boilerplate.boilerplate_lines(pages(spark, []), caps(spark, [])).count() == 0
 
 
 def test_decoding_has_no_contradictions():
-    assert boilerplate.decode({0: 2.0, 1: 0.1, 3: -3.0}, 4, [False, False, True, False]) == [0, 1]
-    assert boilerplate.decode({0: -1.0, 1: 3.0}, 2, [False, False]) == [1]
+    assert boilerplate.decode([2.0, 0.1, -6.0, -3.0], [-1] * 4) == [0, 1]
+    assert boilerplate.decode([-1.0, 3.0, None], [-1] * 3) == [1]
+    # A chrome element goes or stays as a whole where its evidence is clear.
+    assert boilerplate.decode([3.0, -5.0, -0.1, -2.0], [0, -1, 0, -1]) == [0, 2]
 
 
 # --- 8 leakage -----------------------------------------------------------------------------------------------------------

@@ -1,17 +1,20 @@
 """Page boilerplate mixed with main content: boosted trees over the nodes of a page, decoded along its hierarchy.
 
-The nodes of a page are its lines (blocks) in zones (before, within, after the running text), with the tokens they
-carry, their density of text and of links, their place and their siblings. A classifier of gradient-boosted trees
-scores every node; decoding along the hierarchy then keeps an ancestor's choice and its descendants' from
-contradicting each other: a zone that goes takes all its lines with it.
-
-The classifier is fitted when it is asked for, on two bounded sets of labelled nodes: pages composed from labelled
-exemplars (below), and at most TRAIN_PAGES pages of the data, whose text_chrome labels its lines as boilerplate and
-whose long paragraphs are labelled as body.
+The nodes of a page are the lines (blocks) of its text, each mapped to the node of the captured document that holds it:
+depth, tag, attribute tokens, what it stands in, density of text and links of the subtree it belongs to, and its
+siblings. Where no document was captured, or a line is not in it, these features are missing and the line's own tokens,
+place and neighbours are left. A classifier of gradient-boosted trees scores every node, whatever its length; decoding
+along the hierarchy (page > container or zone between running text > line) then keeps an ancestor's choice and its
+descendants' from contradicting each other: a zone that goes takes all its lines with it.
+
+The classifier is fitted when it is asked for, on two bounded sets of labelled nodes: documents composed from labelled
+exemplars (below), and at most TRAIN_PAGES pages of the data, whose text_chrome and navigation elements label their
+lines as boilerplate and whose long paragraphs are labelled as body.
 """
 
 from __future__ import annotations
 
+import html
 import random
 import re
 from collections.abc import Iterator
@@ -21,17 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import one_delivery
+
 from .boosting import BoostedTrees
 from .residue import Index, is_residue, term_counts
 from .stuffing import stuffed_pages
 
-#: Bound of the labelled pages taken from the data, and number of pages composed from exemplars for each member.
-TRAIN_PAGES, COMPOSED_PAGES = 600, 1500
-#: Members of the committee, each fitted on pages composed anew; their scores are averaged.
-MEMBERS = 3
-#: Weight of a zone's own evidence against its lines' in decoding.
-ZONE_WEIGHT = 0.1
-#: A line with so many words and so many sentence marks is a paragraph; the first stage of the cascade ends there.
+#: Bound of the labelled pages taken from the data, and number of documents composed from exemplars.
+TRAIN_PAGES, COMPOSED_PAGES = 400, 2000
+#: Trees of the classifier and their depth.
+TREES, DEPTH = 100, 5
+#: Weight of a zone's own evidence against its lines' in decoding, and score below which a line is sure to be running
+#: text, which parts zones.
+ZONE_WEIGHT, RUNNING = 0.1, -4.0
+#: Words and sentence marks of a line that labels a sampled page's body (labels only: every line is scored).
 PARAGRAPH_WORDS, PARAGRAPH_MARKS = 26, 2
 
 # Labelled exemplars of what tokens a node carries, in several languages. Single words, lower case.
@@ -69,88 +75,230 @@ _LANGUAGES = frozenset("EN DE FR ES IT PT NL PL RU".split())
 
 _END = re.compile(r"[.!?…](?=[\"”»’)\]]*(?:\s|$))|[。！？।؟]")
 _STRIP = ".,;:!?()[]{}\"'“”„«»‘’…▾"
+_CLEAN = str.maketrans({c: " " for c in ".,;:!?()[]{}\"“”„«»‘…▾"})
 _BULLETS = frozenset("·•|»▾–—›→")
 _SLASHES = frozenset(("/", ">"))
 _STEP = re.compile(r"^\s*(?:step|schritt|étape|paso|\d+[.)])\s*\d*", re.I)
 _LABEL = re.compile(r"^[^:]{2,28}:\s")
-FEATURES = 43
+
+# --- Nodes of the captured document -------------------------------------------------------------------------------
+
+# Elements by role, and tokens of class, id and role attributes that tell what an element is for.
+_CHROME_TAGS = frozenset("nav aside footer header menu dialog form".split())
+_BODY_TAGS = frozenset("main article section blockquote figure table".split())
+_HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6 title".split())
+_LEAF_TAGS = frozenset("li a td th dd dt option button label summary".split())
+_SKIP_TAGS = frozenset("script style template svg head".split())
+_VOID = frozenset("br img hr input meta link source track wbr area base col embed".split())
+_INLINE = frozenset("a b i u em strong span small sup sub code abbr cite mark time font label".split())
+_CHROME_TOKENS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs crumbs header footer foot sidebar side aside widget cookie cookies consent gdpr banner "
+    "share social sharing related recommend recommended popular trending newsletter subscribe signup comment comments chat promo ad ads legal copyright toolbar topbar search".split()
+)
+_BODY_TOKENS = frozenset("content main article post entry body text story page".split())
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TOKEN = re.compile(r"[a-z]+")
+_WS = re.compile(r"\s+")
+DOM = 10
+_NO_NODE = [-1.0] * DOM
+
+
+class Node:
+    """An element of a document: tag, depth, role of it and what it stands in (1 chrome, -1 body, 0 neither), attribute
+    tokens, and what its subtree holds."""
+
+    __slots__ = ("tag", "depth", "up", "role", "tokens", "blocks", "chars", "linked", "kids", "short")
+
+    def __init__(self, tag: str, up: Node | None, tokens: int):
+        self.tag, self.up, self.tokens = tag, up, tokens
+        self.depth = up.depth + 1 if up else 0
+        own = 1 if tag in _CHROME_TAGS else -1 if tag in _BODY_TAGS else 0
+        self.role = own or (up.role if up else 0)
+        self.blocks = self.chars = self.linked = self.kids = self.short = 0
+
+
+def dom_blocks(body: str) -> list[tuple[str, Node]]:
+    """(text, node) of the blocks of a document in order: an element's text with that of inline elements in it.
+
+    Unclosed, stray and broken tags are handled; scripts, styles and comments hold no text.
+    """
+    out: list[tuple[str, Node]] = []
+    at = Node("", None, 0)
+    hold: list[str] = []
+    skip = 0
+    last = 0
+    linked = 0
+
+    def close_block() -> None:
+        nonlocal linked
+        text = _WS.sub(" ", html.unescape("".join(hold))).strip()
+        hold.clear()
+        if text:
+            out.append((text, at))
+            at.kids += 1
+            at.short += len(text) < 60
+            n = at
+            while n is not None:
+                n.blocks += 1
+                n.chars += len(text)
+                n.linked += min(linked, len(text))
+                n = n.up
+        linked = 0
+
+    for m in _MARKUP.finditer(body):
+        if not skip and m.start() > last:
+            piece = body[last : m.start()]
+            hold.append(piece)
+            if at.tag == "a":
+                linked += len(piece)
+        last = m.end()
+        tag = m.group(2)
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if tag in _SKIP_TAGS:
+            skip = 0 if m.group(1) else 1
+            continue
+        if skip:
+            continue
+        if tag in _VOID:
+            if tag in ("br", "hr"):
+                hold.append("\n" if tag == "br" else " ")
+            continue
+        if tag not in _INLINE:
+            close_block()
+        if m.group(1):
+            n = at
+            while n is not None and n.tag != tag:
+                n = n.up
+            if n is not None and n.up is not None:
+                at = n.up
+        else:
+            bits = 0
+            for a in _ATTRIBUTE.finditer(m.group(3) or ""):
+                for t in _TOKEN.findall((a.group(1) or a.group(2) or a.group(3) or "").lower()):
+                    bits |= (t in _CHROME_TOKENS) | (t in _BODY_TOKENS) << 1
+            at = Node(tag, at, bits | (at.tokens & 1))
+    if not skip:
+        hold.append(body[last:])
+    close_block()
+    return out
+
+
+def dom_features(node: Node, at: int, n: int) -> list[float]:
+    """What the document shows of a node; at: its place among n blocks."""
+    block = node
+    while block.up is not None and block.up.up is not None and block.tag in _INLINE:
+        block = block.up
+    up = block.up or block
+    kind = 3 if block.tag in _HEADING_TAGS else 2 if block.tag in _LEAF_TAGS else 1 if block.tag == "p" else 0
+    return [
+        1.0, float(block.depth), float(kind), float(block.role), float(node.tokens & 1), float(node.tokens >> 1 & 1), up.chars / (up.blocks or 1),
+        up.linked / (up.chars or 1), float(min(up.blocks, 60)), at / (n or 1),
+    ]
+
+
+def line_nodes(lines: list[str], body: str | None) -> tuple[list[list[float]], list[int]]:
+    """(document features, container) of every line: those of the first block with the line's text that no earlier line
+    took. container: number of the chrome element it stands in, -1 for none."""
+    if not body:
+        return [_NO_NODE] * len(lines), [-1] * len(lines)
+    blocks = dom_blocks(body)
+    places: dict[str, list[int]] = {}
+    for i in range(len(blocks) - 1, -1, -1):
+        for piece in blocks[i][0].split("\n"):
+            places.setdefault(piece, []).append(i)
+    out, box, ids = [], [], {}
+    for x in lines:
+        own = places.get(_WS.sub(" ", x).strip())
+        if not own:
+            out.append(_NO_NODE)
+            box.append(-1)
+            continue
+        i = own.pop() if len(own) > 1 else own[0]
+        node = blocks[i][1]
+        out.append(dom_features(node, i, len(blocks)))
+        top = node
+        while top is not None and top.tag not in _CHROME_TAGS:
+            top = top.up
+        box.append(-1 if top is None else ids.setdefault(id(top), len(ids)))
+    return out, box
+
+
+# --- Features of lines ---------------------------------------------------------------------------------------------
+
+FEATURES = 44 + DOM
 
 
 def line_features(line: str) -> list[float]:
     """What a node shows by itself; the first entries are reused for its siblings."""
     toks = line.split()
     n = len(toks) or 1
-    nav = consent = side = foot = unit = func = caps = digits = bullets = slashes = words = short = lead = tags = cookie = 0
-    cue = _CUE.get
-    for t in toks:
-        if t in _BULLETS:
-            bullets += 1
-            continue
-        if t in _SLASHES:
-            slashes += 1
-            continue
-        words += 1
-        w = t.strip(_STRIP)
-        if w[:1].isupper():
-            caps += 1
-        if w[:1].isdigit():
-            digits += 1
-        if len(w) <= 2:
-            short += 1
-        c = cue(w.lower())
-        if w in _LANGUAGES:
-            nav += 1
-        if c:
-            if words <= 4:
-                lead += (c & _SIDE) > 0
-                tags += (c & _TAGS) > 0
-            nav += (c & _NAV) > 0
-            cookie += (c & _COOKIE) > 0
-            consent += (c & _CONSENT) > 0
-            side += (c & _SIDE) > 0
-            foot += (c & _FOOT) > 0
-            unit += (c & _UNIT) > 0
-            func += (c & _FUNC) > 0
+    bullets = sum(map(_BULLETS.__contains__, toks))
+    slashes = sum(map(_SLASHES.__contains__, toks))
+    ws = line.translate(_CLEAN).split()
+    words = len(ws)
+    low = line.translate(_CLEAN).lower().split()
+    firsts = [w[0] for w in ws]
+    caps = sum(map(str.isupper, firsts))
+    digits = sum(map(str.isdigit, firsts))
+    short = sum(len(w) <= 2 for w in ws)
+    nav = consent = side = foot = unit = func = tags = cookie = 0
+    for c in filter(None, map(_CUE.get, low)):
+        nav += (c & _NAV) > 0
+        cookie += (c & _COOKIE) > 0
+        consent += (c & _CONSENT) > 0
+        side += (c & _SIDE) > 0
+        foot += (c & _FOOT) > 0
+        unit += (c & _UNIT) > 0
+        func += (c & _FUNC) > 0
+    lead = 0
+    for c in filter(None, map(_CUE.get, low[:4])):
+        lead += (c & _SIDE) > 0
+        tags += (c & _TAGS) > 0
+    nav += sum(map(_LANGUAGES.__contains__, ws[-3:]))
     marks = len(_END.findall(line))
     w = words or 1
-    sign = "©" in line or "(c)" in line.lower() or line.lower().startswith("copyright")
+    start = line[:9].lower()
+    sign = "©" in line or "(c)" in line or "(C)" in line or start == "copyright"
     return [
         min(n, 60), marks / w, (nav + consent + side + foot) / w, min(len(line), 400), marks, float(line.rstrip()[-1:] in ".!?…"),
         bullets / n, slashes / n, (line.count(",") + line.count(";")) / w, caps / w, digits / w, float(sign), func / w,
-        nav / w, consent / w, side / w, foot / w, consent, side, foot, unit / w, float(bool(_STEP.match(line))),
-        float(bool(_LABEL.match(line))), float("  " in line), short / w, float("[" in line or "(" in line), bullets + slashes, lead, tags, cookie,
+        nav / w, consent / w, side / w, foot / w, min(consent, 8), min(side, 8), min(foot, 8), unit / w, float(bool(_STEP.match(line))),
+        float(bool(_LABEL.match(line))), float("  " in line), short / w, float("[" in line or "(" in line), bullets + slashes, lead, tags, min(cookie, 4),
     ]
 
 
-def page_features(lines: list[str], labels: frozenset[str], chrome: frozenset[str], heads: frozenset[str], only: list[int] | None = None) -> np.ndarray:
-    """One row per line in `only` (all by default): its own features, its siblings', its place and its page's."""
+def page_features(lines: list[str], links, chrome: frozenset[str], heads: frozenset[str], body: str | None = None, only: list[int] | None = None) -> tuple[np.ndarray, list[int]]:
+    """(features, containers): a row per line in `only` (all by default) with its own features, its siblings', its place,
+    its page's and its document's. links: (label, region) of the page's links."""
     wanted = range(len(lines)) if only is None else only
     n = len(lines)
-    own: dict[int, list[float]] = {}
-
-    def of(i: int) -> list[float]:
-        if i not in own:
-            own[i] = line_features(lines[i])
-        return own[i]
-
-    low = [x.lower() for x in lines]
+    own = [line_features(x) for x in lines]
+    dom, box = line_nodes(lines, body)
+    labels = frozenset(w for x, _ in links for w in x.lower().split())
+    outer = frozenset(w for x, r in links if r in ("nav", "footer", "aside", "header") for w in x.lower().split())
     rows = []
     for i in wanted:
-        f = of(i)
-        toks = [t.strip(_STRIP) for t in low[i].split()]
-        linked = sum(t in labels for t in toks) / (len(toks) or 1)
-        set_i = frozenset(t for t in toks if t)
+        f = own[i]
+        line = lines[i].lower()
+        short = len(line) < 400
+        toks = [t.strip(_STRIP) for t in line.split()] if short else []
+        linked = sum(map(labels.__contains__, toks)) / (len(toks) or 1)
+        region = sum(map(outer.__contains__, toks)) / (len(toks) or 1)
+        set_i = frozenset(filter(None, toks))
         in_chrome = max((len(set_i & c) / len(set_i | c) for c in chrome), default=0.0) if set_i else 0.0
-        prev = of(i - 1)[:3] if i and len(lines[i - 1]) < 400 else [60.0, 0.07, 0.0] if i else [0.0, 0.0, 0.0]
-        nxt = of(i + 1)[:3] if i + 1 < n and len(lines[i + 1]) < 400 else [60.0, 0.07, 0.0] if i + 1 < n else [0.0, 0.0, 0.0]
+        prev = own[i - 1][:3] if i else [0.0, 0.0, 0.0]
+        nxt = own[i + 1][:3] if i + 1 < n else [0.0, 0.0, 0.0]
         rows.append(
-            f + prev + nxt + [min(i, 12), min(n - 1 - i, 12), i / n, linked, in_chrome, float(low[i].strip() in heads), float(n)]
+            f + prev + nxt + [min(i, 12), min(n - 1 - i, 12), i / n, linked, in_chrome, float(line.strip() in heads), float(min(n, 60)), region] + dom[i]
         )
-    return np.array(rows, float).reshape(len(rows), FEATURES)
+    return np.array(rows, float).reshape(len(rows), FEATURES), box
 
 
-def label_words(links) -> frozenset[str]:
-    return frozenset(w for x in links or () if x for w in x.lower().split())
+def label_regions(links) -> list[tuple[str, str]]:
+    return [(x["text"], x["region"] or "") for x in links or () if x and x["text"]]
 
 
 def chrome_sets(text: str | None) -> frozenset[frozenset[str]]:
@@ -172,41 +320,42 @@ _MENUS = (
     "Home|About us|Products|Prices|News|Contact|Stores|Guides|Services|Blog|Help", "Start|Über uns|Produkte|Preise|Aktuelles|Kontakt|Filialen|Ratgeber",
     "Accueil|À propos|Produits|Tarifs|Actualités|Contact|Magasins|Conseils", "Inicio|Nosotros|Productos|Precios|Noticias|Contacto|Tiendas|Guías",
 )
-_EXTRA = "|Search|Log in|Basket (3)|EN DE|Menu ▾|Cart|My account".split("|")
+_EXTRA = "|Search|Log in|Basket|EN DE|Menu ▾|Cart (2)|My account".split("|")
 _CONSENT_LINES = (
-    "We use cookies to measure visits. Accept all or choose settings.|This site stores small files on your device; by staying you agree.|"
-    "Cookie choices: necessary, statistics, adverts. Save and close|Your privacy matters to {name}. Accept, reject or manage consent.|"
-    "We and our {n} partners store data on your device. Agree / Decline|By using this website you accept our cookie policy.|"
-    "Manage your privacy preferences|Wir nutzen Cookies für Statistik. Alle annehmen oder auswählen.|{name} speichert Daten auf Ihrem Gerät. Einstellungen öffnen|"
-    "Nous utilisons des cookies pour mesurer les visites. Tout accepter ou choisir.|{name} dépose des traceurs sur votre appareil. Gérer mes choix|"
-    "Usamos cookies para medir visitas. Aceptar todo o configurar.|{name} guarda datos en su equipo. Ajustes|To run {name} we and {n} partners keep data on your device. Agree / Decline"
+    "We use cookies to improve this website. Accept all cookies or open the settings.|Cookies help us to measure how our store is used. OK / Decline|"
+    "Cookie settings: necessary, marketing, analytics. Save my choice and close|{name} values your privacy. You can accept, reject or manage cookies.|"
+    "We and our {n} partners store and access data on your device. Agree or decline|By using this website you accept our cookie policy.|By staying on this site you agree to small files on your device.|"
+    "Manage your privacy preferences|Necessary only / Statistics / Adverts / Accept all|Your consent: choose which partners may store data. Save and close|To run this shop, {name} and {n} partners keep data on your device. Agree / Reject|"
+    "Wir nutzen Cookies für die Statistik. Alle akzeptieren oder Einstellungen öffnen.|{name} speichert kleine Dateien auf Ihrem Gerät. Annehmen oder ablehnen|"
+    "Nous utilisons des cookies pour les statistiques. Tout accepter ou gérer vos choix.|Des traceurs sont déposés sur votre appareil par {name}. Refuser ou accepter|"
+    "Usamos cookies para mejorar esta página. Aceptar o rechazar|Las cookies guardan datos en su equipo. Configurar ajustes, {name}|We keep small files on this device to count visits. By reading on you agree. You may reject them in the settings."
 ).split("|")
 _SIDE_LINES = (
-    "You may also like {list}|Related: {list}|Most read this week: {list}|In this section: {list}|In this section: {list}|In this section: {list}|"
-    "Share this page: Copy link  Print  Mail to a friend|{n} people liked this · Add comment · Report|Sign up for our newsletter and get {n}% off. Enter e-mail|"
-    "Need help? Chat with us, desk open until {n}:00|Related articles: {list}|Popular: {a} | {b} | {c}|Recommended for you {list}|Leave a comment|"
-    "Most read: {list}|Most read today: {list}|Most popular this month: {list}|You might also like {list}|You may also like {list}|"
-    "Related: {list}|See also: {list}|More in this section: {list}|Also in this section {list}|Sign up for our letter and get {n}% off your order. Enter e-mail|"
-    "Sign up for news and offers. Enter your e-mail|Get {n}% off your first order: sign up for the newsletter|Join our mailing list and get {n}% off. E-mail|Questions? Chat with us now|"
-    "Chat with us, we are here until {n}:00|Share on Facebook  Twitter  Mail|Ähnliche Artikel: {list}|Newsletter abonnieren und {n}% sparen|Partager cette page: Copier  Imprimer|"
-    "Articles liés: {list}|Compartir esta página|Más leído: {list}|Subscribe to our letter. Enter e-mail|Comments ({n}) · Report"
+    "Customers also bought {list}|Related posts: {list}|Most read today: {list}|Most popular this month: {list}|More in this section: {list}|Also in this section {list}|You might also like {list}|See also: {list}|"
+    "Related articles: {list}|Related products: {list}|Popular right now: {a} ! {b} ! {c}|Recommended for you {list}|Trending: {list}|This section: {list}|In the same section: {a}, {b}, {c}|You may like: {list}|Read next: {list}|Most viewed {list}|"
+    "Share this article: Copy  Print  Mail|Share: Facebook  Twitter  Copy link|Share on Facebook  Twitter  Mail|Print this page · Mail it to a friend · Copy the link|{n} people like this · Comment · Share|{n} comments · Add yours · Report|Liked by {n} readers · Comment · Report|"
+    "Subscribe to our newsletter and save {n}%. Enter your e-mail|Sign up for news and offers. Enter your e-mail|Get {n}% off your first order: sign up for the newsletter|Join our mailing list and get {n}% off. E-mail|Sign up for our letter. Enter e-mail|"
+    "Questions? Chat with us now|Chat with us, we are here until {n}:00|Do you need help? Chat with our desk, open until {n}:00|Leave a comment|Write a comment · Report this|Ähnliche Artikel: {list}|Newsletter abonnieren und {n}% sparen|Partager cette page: Copier  Imprimer|"
+    "Articles liés: {list}|Compartir esta página: Copiar  Imprimir|Más leído: {list}|Subscribe to our letter. Enter e-mail|Comments ({n}) · Report"
 ).split("|")
 _FOOT_LINES = (
-    "© 20{y} {name}. All rights reserved.|© 20{y} {name}, tous droits réservés|© 20{y} {name} – Alle Rechte vorbehalten|© 20{y} {name}, derechos reservados|"
-    "Copyright 20{y} {name} – registered in {p}|{name}, {n} High Street, {p}. Open Mon to Fri|Terms of use  Privacy  Imprint  Delivery|Impressum Datenschutz AGB Versand|"
-    "Mentions légales · Données · Livraison|Aviso legal Privacidad Envíos|Follow us: Photos Clips Letters|Follow us on Facebook Instagram YouTube|"
-    "{name}, {n} Mill Road, {p}. Open Mon to Sat|Privacy | Terms | Sitemap|(c) 20{y} {name} - legal notice"
+    "© 20{y} {name}. All rights reserved.|© 20{y} {name}, tous droits réservés|© 20{y} {name} – Alle Rechte vorbehalten|© 20{y} {name}, derechos reservados|© {name} 20{y}. Rights kept.|"
+    "Copyright 20{y} by {name}, registered in {p}|Copyright © {name} – a company of {p}|(c) 20{y} {name} - legal notice|{name}, {n} High Street, {p}. Open Mon to Fri|{name}, {n} Mill Road, {p}. Open Tue to Sat|{name} · {n} Station Road · {p}|Hauptstraße {n}, {p}. Geöffnet Mon bis Sat, {name}|"
+    "Terms  Privacy  Imprint|Terms of service · Privacy policy · Delivery|Privacy | Terms | Sitemap|Datenschutz AGB Impressum|AGB  Versand  Kontakt|Mentions légales | Livraison | Confidentialité|Données personnelles  Mentions légales|Aviso legal  Privacidad|Envíos · Aviso legal · Contacto|"
+    "Follow us on Facebook Instagram YouTube|Follow us: Instagram  YouTube  LinkedIn|Follow: Photos  Clips|Our letters · Our photos · Follow us"
 ).split("|")
+# Headings of one word.
+_WORDS = "Kurbel Hocker Hobel Leiter Schaufel Kelle Échelle Tabouret Rabot Truelle Pelle Marteau Escalera Taburete Cepillo Paleta Martillo Scala Sgabello Pialla Ladder Stool Trowel Bellows Anvil Sieve".split()
 _PROSE = (
     "The {a} from {p} was tested last spring because the old one leaked.|Each {a} ships with a spare handle and a short note.|Visitors compare the {a} with the {b} every autumn.|"
     "When the shop moved to {p}, orders for the {a} doubled within {n} weeks.|The guide explains how the museum in {p} stored its {a}.|Nobody noticed that the {b} was broken until May.|"
     "The baker told us that brass and cork age differently in the yard.|Der {a} aus {p} wurde im Mai geprüft und blieb robust.|Wer die Werkbank kauft, braucht Holz und etwas Geduld.|"
     "La lampe de {p} a été vérifiée en mai et reste solide.|On y trouve du bronze et du lin pour chaque presse.|La bomba de {p} se revisó en mayo y sigue firme.|El precio ronda las {n} coronas, casi menos que en {p}.|"
-    "La doctora {p} guarda {n} piezas de haya en el taller.|Mme {p} garde {n} pièces en cuivre dans son atelier.|Die Anleitung nennt Messing und Leinen nur am Rand."
+    "La doctora {p} guarda {n} piezas de haya en el taller.|M. {p} vend {n} lampes en cuivre à la foire.|Die Anleitung nennt Messing und Leinen nur am Rand."
 ).split("|")
 _DECOYS = (
     "Store cookies and dry cakes beside the {a}, never in tin boxes, and check the lid each week.|When a shop asks for cookie consent twice, the {a} page loses readers, as one editor showed.|When a site asks for cookie consent twice, the search box loses its users, as one printer showed.|"
-    "Not one reader noticed the consent box of the {a} page last winter.|Prices for the {a} start at {n} crowns, while prices stayed level.|Nobody noticed the contact form, and the news page was hidden.|"
+    "Not one reader noticed the consent box of the {a} page last winter.|Prices of the {a} rose by {n} crowns, and news of it spread.|Prices for a good {a} began at {n} crowns in {p}.|Prices for the {b} went up to {n} crowns, though few people complained.|The guide to prices says that a {a} costs {n} crowns.|Prices start low in {p}, where the {a} is made.|In {p} the prices for a {a} stay near {n} crowns.|Nobody noticed the contact form, and the news page was hidden.|"
     "The workshop opens Mon to Fri, and the {a} is shown after lunch.|The museum published a newsletter in May, and many readers asked for the next one.|"
     "Our privacy study followed {n} shops for two years and found that few people read the terms.|People who share a {a} with a friend often buy a second one.|"
     "The contact form on this site was broken in spring, so orders were lost.|The copyright of the drawings stayed with the {p} archive until 19{y}.|"
@@ -217,9 +366,9 @@ _DECOYS = (
     "Visits to the {a} page fell when the menu changed.|The settings of the {a} are easy to forget, so write them down."
 ).split("|")
 _BODY_SHORT = (
-    "Step {m} > loosen the {a} > lift the pin|Step {m}: turn the {a}, then wait|{m}. Fold the {a}|Sizes: {m} mm | {n} mm | {k} mm|Handle: {n} mm, brass|Wheel: {n}.{m} mm, ash wood|"
-    "Weight: {n} kg, {m} parts|Tags: {list}|Tags: {list}|Keywords: {list}|{A} and handle|{A} notes|What to know about the {a}|{A}|Why the {a} failed|{A} – a short glossary|"
-    "{a} – a tool for the yard|Material: oak, steel, cork|Schlagwörter: {list}|Colours: red | blue | green|{m} mm, {n} mm, {k} mm|- {a}|Ingredients: flour, water, salt|Lanterne|Werkbank|Carretilla"
+    "Step {m} > turn the {a} > lift the lid|Step {m}: turn the {a}, then wait|{m}. Fold the {a}|Sizes: {m} mm / {n} mm / {k} mm|Width: {m} mm | {n} mm | {k} mm|Length: {m} cm | {n} cm|Handle: {n} mm, brass|Wheel: {n}.{m} mm, ash wood|"
+    "Weight: {n} kg, {m} parts|Tagged: {list}|Tags: {a} | {b} | {c}|Tags for this text: {list}|Keywords: {list}|Filed under tags: {list}|{A} and lid|{A} notes|What to know about the {a}|{A}|Why the {a} failed|{A} – a short glossary|"
+    "{a} – a tool for the yard|{A}: what buyers ask|Material: oak, steel, cork|Schlagwörter: {list}|Mots-clés: {list}|Colours: red | blue | green|{m} mm, {n} mm, {k} mm|- {a}|Ingredients: flour, water, salt|{word}|{word}|{word}|{word}"
 ).split("|")
 
 
@@ -228,7 +377,7 @@ def _fill(t: str, r: random.Random) -> str:
     items = r.choice((", ", ", ", "; ")).join(r.sample(_ITEMS, r.randint(2, 6)))
     return t.format(
         list=items, a=a, b=b, c=c, d=d, A=a.capitalize(), name=f"{r.choice(_NAMES)} {r.choice(_KINDS)}", p=r.choice(_PLACES), n=r.randint(2, 99),
-        m=r.randint(1, 9), k=r.randint(100, 999), y=r.randint(10, 29),
+        word=r.choice(_WORDS), m=r.randint(1, 9), k=r.randint(100, 999), y=r.randint(10, 29),
     )
 
 
@@ -247,162 +396,198 @@ def _crumb(r: random.Random) -> str:
     return r.choice((" > ", " » ", " / ", " › ")).join(items)
 
 
-def composed_pages(n: int = COMPOSED_PAGES, seed: int = 7) -> list[tuple[list[str], list[int], list[str], str, list[str]]]:
-    """(lines, labels, link labels, chrome text, headings) of pages put together from the exemplars."""
+_BOX = {"nav": ("nav", "header", "ul", "div"), "consent": ("div", "aside", "dialog"), "side": ("aside", "div", "section"), "foot": ("footer", "div")}
+_CLASS = {"nav": "menu navbar top-nav", "consent": "cookie-banner consent gdpr", "side": "sidebar related share-box", "foot": "footer site-footer legal"}
+
+
+def _document(lines: list[tuple[str, str]], r: random.Random) -> str:
+    """Markup of a page whose boilerplate stands in elements of its own, or, as often, leaked into the content."""
+    leak = r.random() < 0.7
+    out = ["<html><body>"]
+    outer, inner = r.choice((("main", "p"), ("div", "p"), ("article", "p"), ("div", "div"), ("section", "p")))
+    out.append(f'<{outer} class="{r.choice(("content", "post", "x1f", "", "wrap"))}">')
+    for text, kind in lines:
+        t = html.escape(text)
+        if kind == "head":
+            out.append(f"<h2>{t}</h2>")
+        elif kind in ("body", "short") or leak and r.random() < 0.85:
+            out.append(f"<{inner}>{t}</{inner}>")
+        else:
+            box = r.choice(_BOX[kind])
+            cls = r.choice((*_CLASS[kind].split(), "c81", ""))
+            out.append(f'</{outer}><{box} class="{cls}">{t}</{box}><{outer}>')
+    return "".join(out) + f"</{outer}></body></html>"
+
+
+def composed_pages(n: int = COMPOSED_PAGES, seed: int = 7) -> list[tuple]:
+    """(lines, labels, links, chrome text, headings, markup) of pages put together from the exemplars."""
     r = random.Random(seed)
     out = []
     for _ in range(n):
-        lines: list[tuple[str, int]] = []
+        lines: list[tuple[str, str]] = []
         menu = _menu(r)
         chrome = [menu] if r.random() < 0.6 else []
-        lead = [(_menu(r), 1), (_crumb(r), 1), (_fill(r.choice(_CONSENT_LINES), r), 1), (_crumb(r), 1), (menu, 1)]
+        lead = [(_menu(r), "nav"), (_crumb(r), "nav"), (_fill(r.choice(_CONSENT_LINES), r), "consent"), (_crumb(r), "nav"), (menu, "nav")]
         lines += r.sample(lead, r.choice((0, 0, 1, 1, 2, 3)))
         heads = []
         for _ in range(r.randint(1, 7)):
             k = r.random()
-            if k < 0.42:
-                lines.append((" ".join(_fill(r.choice(_PROSE), r) for _ in range(r.randint(1, 4))), 0))
-            elif k < 0.58:
-                lines.append((_fill(r.choice(_DECOYS), r), 0))
-            elif k < 0.82:
+            if k < 0.36:
+                lines.append((" ".join(_fill(r.choice(_PROSE), r) for _ in range(r.randint(1, 5))), "body"))
+            elif k < 0.46:
+                lines.append((_fill(r.choice(_DECOYS), r), "body"))
+            elif k < 0.60:
+                mixed = [r.choice(_PROSE) for _ in range(r.randint(1, 3))] + [r.choice(_DECOYS)]
+                r.shuffle(mixed)
+                lines.append((" ".join(_fill(x, r) for x in mixed), "body"))
+            elif k < 0.80:
                 s = _fill(r.choice(_BODY_SHORT), r)
-                if ":" not in s and ">" not in s and "|" not in s and r.random() < 0.7:
+                plain = ":" not in s and ">" not in s and "|" not in s
+                if plain and r.random() < 0.7:
                     heads.append(s)
-                lines.append((s, 0))
-            else:
-                lines.append((_fill(r.choice(_SIDE_LINES), r), 1))
-        tail = [_fill(r.choice(_SIDE_LINES), r), _fill(r.choice(_FOOT_LINES), r), _fill(r.choice(_FOOT_LINES), r), _fill(r.choice(_CONSENT_LINES), r)]
-        lines += [(x, 1) for x in r.sample(tail, r.choice((0, 0, 1, 1, 2)))]
+                lines.append((s, "head" if plain and r.random() < 0.8 else "short"))
+            elif k < 0.97:
+                lines.append((_fill(r.choice(_SIDE_LINES), r), "side"))
+            else:  # a long notice, as long as a paragraph
+                lines.append((" ".join(_fill(r.choice(_CONSENT_LINES + _FOOT_LINES[:12]), r) for _ in range(r.randint(3, 8))), "consent"))
+        tail = [(_fill(r.choice(_SIDE_LINES), r), "side"), (_fill(r.choice(_FOOT_LINES), r), "foot"), (_fill(r.choice(_FOOT_LINES), r), "foot"), (_fill(r.choice(_CONSENT_LINES), r), "consent")]
+        lines += r.sample(tail, r.choice((0, 0, 1, 1, 2)))
         if r.random() < 0.3:
             chrome.append(_fill(r.choice(_FOOT_LINES), r))
-        links = r.sample(_MENUS[0].split("|"), 4) + r.sample(_ITEMS, 3)
-        out.append(([x for x, _ in lines], [y for _, y in lines], links, "\n".join(chrome), heads))
+        links = [(x, r.choice(("nav", "footer", "main"))) for x in r.sample(_MENUS[0].split("|"), 4)] + [(x, r.choice(("main", "main", "nav"))) for x in r.sample(_ITEMS, 3)]
+        own = [int(k not in ("body", "short", "head")) for _, k in lines]
+        out.append(([x for x, _ in lines], own, links, "\n".join(chrome), heads, _document(lines, r) if r.random() < 0.8 else None))
     return out
 
 
-class Committee:
-    """Boosted trees fitted on differently composed pages and the same sampled pages; one score, their mean."""
-
-    def __init__(self, sample: list[tuple], members: int = MEMBERS):
-        self.models = [BoostedTrees(trees=80).fit(*training_set(sample, 7 + k)) for k in range(members)]
-
-    def decision(self, x: np.ndarray) -> np.ndarray:
-        return sum(m.decision(x) for m in self.models) / len(self.models)
-
-
 def training_set(sample: list[tuple], seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and weights of the composed pages and of sampled pages (text_main, text_chrome, link labels,
-    headings): their chrome lines are boilerplate, their paragraphs body; other lines stay unlabelled."""
+    """Features, labels and weights of the composed documents and of sampled pages (text_main, text_chrome, links,
+    headings, body): their chrome lines and navigation elements are boilerplate, their paragraphs body; other lines
+    stay unlabelled."""
     xs, ys, ws = [], [], []
-    for lines, labels, links, chrome, heads in composed_pages(seed=seed):
-        xs.append(page_features(lines, label_words(links), chrome_sets(chrome), frozenset(h.lower() for h in heads)))
+    for lines, labels, links, chrome, heads, body in composed_pages(seed=seed):
+        xs.append(page_features(lines, links, chrome_sets(chrome), frozenset(h.lower() for h in heads), body)[0])
         ys += labels
         ws += [1.0] * len(labels)
-    for main, chrome, links, heads in sample:
-        body = [x for x in (main or "").split("\n") if len(_END.findall(x)) >= PARAGRAPH_MARKS and len(x.split()) >= PARAGRAPH_WORDS]
+    for main, chrome, links, heads, body in sample:
+        para = [x for x in (main or "").split("\n") if len(_END.findall(x)) >= PARAGRAPH_MARKS and len(x.split()) >= PARAGRAPH_WORDS]
         top = [x for x in (chrome or "").split("\n") if x.strip()]
-        if not body or not top:
+        if not para or not top:
             continue
         # As if the chrome stood around the body, which is what it does where extraction fails.
-        lines = top[:1] + body + top[1:]
-        x = page_features(lines, label_words(links), frozenset(), frozenset(h.lower() for h in heads or () if h))
+        lines = top[:1] + para + top[1:]
+        x, _ = page_features(lines, label_regions(links), frozenset(), frozenset(h.lower() for h in heads or () if h), body)
         xs.append(x)
-        ys += [1] + [0] * len(body) + [1] * (len(top) - 1)
+        ys += [1] + [0] * len(para) + [1] * (len(top) - 1)
         ws += [0.5] * len(lines)
     return np.concatenate(xs), np.array(ys, float), np.array(ws)
 
 
+def fit(sample: list[tuple] = (), seed: int = 7) -> BoostedTrees:
+    """The classifier; it can be kept (it pickles) and handed to boilerplate_lines()."""
+    return BoostedTrees(trees=TREES, depth=DEPTH).fit(*training_set(list(sample), seed))
+
+
 # --- Decoding ----------------------------------------------------------------------------------------------------
 
 
-def decode(scores: dict[int, float], n: int, text_lines: list[bool]) -> list[int]:
-    """Lines to drop. The hierarchy: page > zones (before the first running text, each run between texts, after the
-    last) > lines. A zone's evidence is the mean of its lines' scores; dropping a zone drops all its lines, keeping
-    it leaves the choice to each line, so no line contradicts its zone."""
-    zones: list[list[int]] = [[]]
-    for i in range(n):
-        if text_lines[i]:
-            if zones[-1]:
-                zones.append([])
-        elif i in scores:
-            zones[-1].append(i)
-    out: list[int] = []
-    for z in zones:
-        if not z:
+def decode(scores: list[float | None], box: list[int]) -> list[int]:
+    """Lines to drop. The hierarchy: page > zones > lines; a zone is a chrome element of the document, or a run of lines
+    between running text (lines sure to be body). scores: a line's log-odds of being boilerplate, None for blank ones.
+    A zone's evidence is the mean of its lines' scores; dropping a zone drops all its lines, keeping it leaves the
+    choice to each line, so no line contradicts its zone."""
+    zones: dict[tuple, list[int]] = {}
+    run = 0
+    for i, v in enumerate(scores):
+        if v is None:
             continue
+        if box[i] >= 0:
+            zones.setdefault(("box", box[i]), []).append(i)
+        elif v < RUNNING:
+            run += 1
+        else:
+            zones.setdefault(("run", run), []).append(i)
+    out: list[int] = []
+    for z in zones.values():
         total = sum(scores[i] for i in z)
         drop_zone = (1 + ZONE_WEIGHT) * total
         keep_zone = sum(abs(scores[i]) for i in z) - ZONE_WEIGHT * total
-        if drop_zone > keep_zone:
-            out += z
-        else:
-            out += [i for i in z if scores[i] > 0]
-    return out
+        out += z if drop_zone > keep_zone else [i for i in z if scores[i] > 0]
+    return sorted(out)
 
 
-def boilerplate_lines(page: DataFrame, exclude: bool = True, train_pages: int = TRAIN_PAGES) -> DataFrame:
+def boilerplate_lines(page: DataFrame, capture: DataFrame | None = None, exclude: bool = True, train_pages: int = TRAIN_PAGES,
+                      model: BoostedTrees | None = None, stuffed: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no) of every line of text_main (from 0, split at line feeds) that is boilerplate.
 
-    Pages that are residue or stuffed are left out (with exclude). Blank lines are never named. Null texts give no
-    rows, null links, chrome and headings count as empty, deliveries of a page count once, and text is read whole.
-    """
+    capture: (page_id, body, fetched_at), the documents; the latest of a page counts, pages without one are judged by
+    their text alone. Pages that are residue or stuffed are left out (with exclude; stuffed: (page_id) if known already).
+    model: a fitted classifier, else one is fitted. Blank lines are never named. Null texts give no rows, null links,
+    chrome and headings count as empty, deliveries of a page count once, and text is read whole.
+    """
     spark = page.sparkSession
-    labels = F.transform("links", lambda x: x["text"])
+    links = F.transform("links", lambda x: F.struct(x["text"].alias("text"), x["region"].alias("region")))
     heads = F.transform("headings", lambda x: x["heading"])
-    cols = page.where("length(text_main) > 0 AND page_id IS NOT NULL").select(
-        F.col("page_id").cast("long").alias("page_id"), "text_main", "text_chrome", labels.alias("links"), heads.alias("heads")
+    own = page.where("length(text_main) > 0 AND page_id IS NOT NULL").select(
+        F.col("page_id").cast("long").alias("page_id"), "text_main", "text_chrome", links.alias("links"), heads.alias("heads")
     )
-    # The bounded sample: the pages whose ids hash lowest, the same on every run. Only ids compete for it, so that no
-    # task sends texts that are not taken.
-    ids = [
-        r[0]
-        for r in cols.where("length(text_chrome) > 0").select("page_id", F.xxhash64("page_id").alias("h")).distinct()
-        .orderBy("h", "page_id").limit(train_pages).collect()
-    ]
-    taken = cols.where(F.col("page_id").isin(ids)).dropDuplicates(["page_id"]).orderBy("page_id").collect() if ids else []
-    sample = [tuple(r)[1:5] for r in taken]
-    model = Committee(sample)
+    bodies = None
+    if capture is not None:
+        bodies = (
+            capture.where("length(body) > 0 AND page_id IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id"))
+            .agg(F.max(F.struct("fetched_at", "body"))["body"].alias("body"))
+        )
+    if model is None:
+        # The bounded sample: the pages whose ids hash lowest, the same on every run. Only ids compete for it, so that
+        # no task sends texts that are not taken.
+        ids = [
+            r[0]
+            for r in own.where("length(text_chrome) > 0").select("page_id", F.xxhash64("page_id").alias("h")).distinct()
+            .orderBy("h", "page_id").limit(train_pages).collect()
+        ]
+        taken = own.where(F.col("page_id").isin(ids)).dropDuplicates(["page_id"])
+        seen = bodies.where(F.col("page_id").isin(ids)) if bodies is not None else None
+        taken = taken.join(seen, "page_id", "left") if seen is not None else taken.withColumn("body", F.lit(None).cast("string"))
+        model = fit([tuple(r)[1:6] for r in taken.orderBy("page_id").collect()] if ids else [])
     index = Index(*term_counts(page)) if exclude else None
     sent = spark.sparkContext.broadcast((model, index))
+    cols = own.join(bodies.hint("merge"), "page_id", "left") if bodies is not None else own.withColumn("body", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, index = sent.value
         for b in batches:
             pages = []
-            for i, main, chrome, links, heads in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for i, main, chrome, links, heads, body in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if index is not None and is_residue(index, main):
                     continue
                 lines = main.split("\n")
-                text = [
-                    len(x) > 120 and len(_END.findall(x)) >= PARAGRAPH_MARKS and len(x.split()) >= PARAGRAPH_WORDS for x in lines
-                ]
-                ask = [k for k, x in enumerate(lines) if not text[k] and x and not x.isspace()]
+                ask = [k for k, x in enumerate(lines) if x and not x.isspace()]
                 if ask:
-                    x = page_features(lines, label_words(links), chrome_sets(chrome), frozenset(h.lower() for h in heads or () if h), ask)
-                    pages.append((i, len(lines), text, ask, x))
+                    x, box = page_features(lines, label_regions(links), chrome_sets(chrome), frozenset(h.lower() for h in heads or () if h), body, ask)
+                    pages.append((i, len(lines), ask, x, box))
             ids: list[int] = []
             nos: list[int] = []
             if pages:
-                score = model.decision(np.concatenate([p[4] for p in pages]))
+                score = model.decision(np.concatenate([p[3] for p in pages]))
                 at = 0
-                for i, n, text, ask, _ in pages:
-                    own = dict(zip(ask, score[at : at + len(ask)].tolist()))
+                for i, n, ask, _, box in pages:
+                    of: list[float | None] = [None] * n
+                    for k, v in zip(ask, score[at : at + len(ask)].tolist()):
+                        of[k] = v
                     at += len(ask)
-                    drop = decode(own, n, text)
+                    drop = decode(of, box)
                     ids += [i] * len(drop)
                     nos += drop
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], names=["page_id", "line_no"])
 
     found = cols.mapInArrow(run, "page_id long, line_no int").distinct()
     if exclude:
-        found = found.join(stuffed_pages(page).select("page_id"), "page_id", "left_anti")
+        found = found.join((stuffed if stuffed is not None else stuffed_pages(page)).select("page_id"), "page_id", "left_anti")
     return found
 
 
 def main_body(page: DataFrame, lines: DataFrame) -> DataFrame:
     """(page_id, body): text_main without the named lines; pages without any keep their text."""
-    from ..runtime import one_delivery
-
     one = one_delivery(page.where("text_main IS NOT NULL"), "page_id", "text_main")
     gone = lines.groupBy("page_id").agg(F.collect_set("line_no").alias("gone"))
     kept = F.filter(

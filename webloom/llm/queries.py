@@ -79,13 +79,13 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.boilerplate_lines(load(spark, d, "page"))
+    return boilerplate.boilerplate_lines(load(spark, d, "page"), load(spark, d, "capture"))
 
 
 @query("p5_body")
 def p5_body(spark: SparkSession, d: str) -> DataFrame:
     page = load(spark, d, "page")
-    return boilerplate.main_body(page, boilerplate.boilerplate_lines(page))
+    return boilerplate.main_body(page, boilerplate.boilerplate_lines(page, load(spark, d, "capture")))
 
 
 _P8_SQL = r"""
