@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind
 from ..functions.url import normalize_url
 from ..runtime import shared_table
 
@@ -49,19 +48,11 @@ def parent_intervals(pages: DataFrame) -> DataFrame:
     )
 
 
-def _usable(u: Column, k: Column) -> Column:
-    """The key of a usable address, else null: what is no address equals no page's."""
-    return F.when(u != "", k)
-
-
 def references(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
     """(src, id, k, t) of every reference; tables: name -> (table, id, address, time). k is null for what is no address."""
     parts = [
-        df.select(
-            F.lit(name).alias("src"),
-            F.col(i).alias("id"),
-            bind(normalize_url(u), lambda x: _usable(x, _key(F.col("site_id"), x))).alias("k"),
-            F.col(t).alias("t"),
+        df.select(F.lit(name).alias("src"), F.col(i).alias("id"), "site_id", normalize_url(u).alias("u"), F.col(t).alias("t")).select(
+            "src", "id", F.when(F.col("u") != "", _key(F.col("site_id"), F.col("u"))).alias("k"), "t"
         )
         for name, (df, i, u, t) in tables.items()
     ]
