@@ -422,24 +422,40 @@ def test_units_blanks_and_missing_blanks():
     assert sentences.sentence_ends(t) == [t.index(" กุญแจ"), len(t)]
 
 
+def test_span_weights_are_fitted_and_matter():
+    w = sentences.fitted()
+    assert w == sentences.fit() and w["pairs cut"] < -1
+    # The labelled units are held by the fitted weights, and not without what a span says as a whole.
+    t = 'The clerk wrote "We mended it. Twice. It leaks." Then he left.'
+    whole = [t.index(" Then"), len(t)]
+    assert sentences.split_unit(t) == whole
+    assert len(sentences.split_unit(t, w | {"pairs cut": 0.0})) > 2
+    # Opening words and lengths decide where marks alone do not.
+    t = "it was late... but nobody went. so we stayed"
+    assert sentences.split_unit(t, w | {"open small": 8.0}) != sentences.split_unit(t, w | {"open small": -8.0})
+    long = "A word and more. " * 60
+    assert len(sentences.split_unit(long.strip(), w | {"spans": -3.5, "over long": 0.0})) < len(sentences.split_unit(long.strip(), w | {"spans": -3.5, "over long": -4.0}))
+
+
 def test_long_runs_of_weak_candidates_stay_whole():
-    def brute(t):
-        cand = [(e, s) for e, s in sentences.Unit(t).candidates() if s > sentences.IMPOSSIBLE]
-        ends, close = [e for e, _ in cand] + [len(t)], [s for _, s in cand] + [0.0]
-        best, back = [0.0], [0]
-        for j in range(1, len(ends) + 1):
-            start = lambda i: ends[i - 1] if i else 0
-            told = [best[i] + sentences._opening_score(t, start(i)) + close[j - 1] + sentences._length_score(ends[j - 1] - start(i)) for i in range(j)]
-            best.append(max(told))
-            back.append(max(i for i in range(j) if told[i] == best[j]))
+    w = sentences.fitted()
+
+    def span(t, a, b, cand):
+        n, cut, say = b - a, {e: c for e, _, c in cand}, {e: s for e, s, _ in cand}
+        length = w["short"] if n < sentences.LEAST_SPAN else w["over long"] / 100 * max(0, n - sentences.LONG_SPAN)
+        return w[sentences._opening(t, a)] + w["spans"] + length + w["pairs cut"] * (cut.get(a, 0) + cut.get(b, 0)) + say.get(b, 0.0)
+
+    def brute(t, cand):
+        ends, best = [0, *(e for e, s, _ in cand if s > sentences.IMPOSSIBLE), len(t)], [0.0]
+        for j in range(1, len(ends)):
+            best.append(max(best[i] + span(t, ends[i], ends[j], cand) for i in range(j)))
         return best[-1]
 
-    def worth(t):
-        close = dict(sentences.Unit(t).candidates())
-        got, total, at = sentences.split_unit(t), 0.0, 0
-        for e in got:
-            total += sentences._opening_score(t, at) + close.get(e, 0.0) + sentences._length_score(e - at)
-            at = e
+    def worth(t, cand):
+        ends = sentences.split_unit(t)
+        total = sum(span(t, a, b, cand) for a, b in zip([0, *ends], ends))
+        by = sentences.span_features(t, ends)
+        assert abs(total - sum(w[k] * by[k] for k in by) - sum(s for e, s, _ in cand if e in ends)) < 1e-6
         return total
 
     for n in (20, 30, 60):
@@ -448,7 +464,8 @@ def test_long_runs_of_weak_candidates_stay_whole():
     bits = ["... and so ", "a. ", "Then he went. ", "3. flour ", "“Stop!” ", "x" * 90 + " ", "no? ", "Dr. Who ", "e.g. this "]
     for _ in range(60):
         t = "".join(r.choice(bits) for _ in range(r.randrange(1, 80))).strip()
-        assert abs(worth(t) - brute(t)) < 1e-6
+        cand = sentences.Unit(t).candidates()
+        assert abs(worth(t, cand) - brute(t, cand)) < 1e-6
     deep = "(" * 12 + "„Ja. Nein.“ [" + "{" * 9 + " One. Two. ]"
     assert sentences.pairs(deep)[deep.index("[")] == len(deep) - 1
 
