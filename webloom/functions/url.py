@@ -7,7 +7,7 @@ All take and return nullable strings; a null URL behaves like ''.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Query keys that only track, as agreed for address comparison.
@@ -121,6 +121,45 @@ def normalize_url(c: Column | str) -> Column:
     return F.when(scheme.isin("http", "https") & ~broken, whole).otherwise(F.lit(""))
 
 
+def with_normalized(df: DataFrame, **urls: Column | str) -> DataFrame:
+    """df with the comparison form (normalize_url) of each address as a column of the given name.
+
+    The same result in steps, each a column that the next uses: no part is worked out twice, and the plan stays small
+    and inside generated code. Names beginning with `_url_` are the steps' own.
+    """
+    keep = df.columns
+    made = list(urls)
+    one = lambda d, cols: d.select("*", *[v.alias(k) for k, v in cols.items()])
+    out = one(df, {f"_url_u_{k}": _clean(c) for k, c in urls.items()})
+    parts = {}
+    for k in made:
+        u = F.col(f"_url_u_{k}")
+        parts |= {
+            f"_url_s_{k}": F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)), f"_url_n_{k}": F.lower(F.regexp_extract(u, _PARTS, 2)),
+            f"_url_p_{k}": F.regexp_extract(u, _PARTS, 3), f"_url_q_{k}": F.regexp_extract(u, _PARTS, 5),
+        }
+    out = one(out, parts)
+    forms = {}
+    for k in made:
+        s, n, p, q = (F.col(f"_url_{x}_{k}") for x in "snpq")
+        path = F.when(p.rlike(";|//"), F.regexp_replace(F.regexp_replace(p, r";[^/]*$", ""), "/{2,}", "/")).otherwise(p)
+        forms |= {
+            f"_url_h_{k}": F.when((s == "http") & n.endswith(":80"), F.regexp_replace(n, ":80$", "")).when((s != "http") & n.endswith(":443"), F.regexp_replace(n, ":443$", "")).otherwise(n),
+            f"_url_r_{k}": F.when(path == "", F.lit("/")).when(path == "/", path).otherwise(F.regexp_replace(path, "/$", "")),
+            f"_url_k_{k}": _query(q),
+        }
+    out = one(out, forms)
+    final = []
+    for k in made:
+        s, net, path, query = (F.col(f"_url_{x}_{k}") for x in "shrk")
+        rooted = F.when((net != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+        front = F.when((net != "") | path.startswith("/"), F.concat(s, F.lit("://"), net)).otherwise(F.concat(s, F.lit(":")))
+        whole = F.concat(front, rooted, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+        broken = net.contains("[") != net.contains("]")
+        final.append(F.when(s.isin("http", "https") & ~broken, whole).otherwise(F.lit("")).alias(k))
+    return out.select(*[F.col(f"`{c}`") for c in keep if c not in urls], *final)
+
+
 def bare_host(c: Column | str) -> Column:
     """Authority without a leading www. (as a prefix, never as a set of characters)."""
     return F.regexp_replace(url_netloc(c), r"^www\.", "")

@@ -125,11 +125,11 @@ def derive(page: DataFrame, site: DataFrame) -> DataFrame:
             "html_bytes": F.coalesce("html_bytes", F.lit(0)),
         }
     )
+    p = U.with_normalized(p, url_norm="final_url", canonical_norm="canonical", root_norm="root_url")
     kind = F.lower(F.coalesce(F.col("headers")["content-type"], F.lit("")))
     p = p.withColumns(
         {
             "path": F.when(U.url_path("final_url") == "", F.lit("/")).otherwise(U.url_path("final_url")),
-            "url_norm": U.normalize_url("final_url"), "canonical_norm": U.normalize_url("canonical"), "root_norm": U.normalize_url("root_url"),
             "words_main": T.word_count("text_main"), "words_chrome": T.word_count("text_chrome"), "words_hidden": T.word_count("text_hidden"),
             "n_links": F.size("links"),
             "link_chars": F.aggregate("links", F.lit(0), lambda a, x: a + F.length(F.coalesce(x["text"], F.lit("")))),
@@ -211,8 +211,9 @@ class Audit:
     @cached_property
     def links(self) -> DataFrame:
         """One row per link of a content page, in document order."""
-        return self.content.select("site_id", "page_ord", "final_url", F.posexplode("links").alias("link_ord", "l")).select(
-            "site_id", "page_ord", "final_url", "link_ord", F.col("l.href").alias("href"), U.normalize_url("l.href").alias("href_norm"),
+        rows = self.content.select("site_id", "page_ord", "final_url", F.posexplode("links").alias("link_ord", "l"))
+        return U.with_normalized(rows, href_norm="l.href").select(
+            "site_id", "page_ord", "final_url", "link_ord", F.col("l.href").alias("href"), "href_norm",
             F.coalesce("l.text", F.lit("")).alias("text"), F.coalesce(F.nullif("l.text", F.lit("")), F.col("l.img_alt"), F.lit("")).alias("label"),
             F.coalesce("l.region", F.lit("main")).alias("region"), F.coalesce("l.internal", F.lit(False)).alias("internal"),
         )
@@ -220,13 +221,13 @@ class Audit:
     @cached_property
     def edges(self) -> DataFrame:
         """(site_id, src, dst): distinct internal links in comparison form."""
-        e = self.edge.select("site_id", U.normalize_url("src").alias("src"), U.normalize_url("dst").alias("dst"))
+        e = U.with_normalized(self.edge.select("site_id", "src", "dst").distinct(), src="src", dst="dst")
         return self._kept(e.where("src <> '' AND dst <> ''").distinct(), "edges")
 
     @cached_property
     def sitemap_urls(self) -> DataFrame:
         """(site_id, url_norm)."""
-        m = self.sitemap.select("site_id", U.normalize_url("loc").alias("url_norm"))
+        m = U.with_normalized(self.sitemap.select("site_id", "loc").distinct(), url_norm="loc").select("site_id", "url_norm")
         return self._kept(m.where("url_norm <> ''").distinct(), "sitemap")
 
     @cached_property

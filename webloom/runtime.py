@@ -37,12 +37,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or (only where that is unset) a
-    temporary folder, which is set on the session so that checkpoint() uses it too."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or (only where that is unset and all
+    executors are threads of this process, as in tests) a temporary folder, which is set on the session so that
+    checkpoint() uses it too."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("webloom.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         at = tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("webloom.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -83,14 +87,19 @@ def _clean() -> None:
 def one_delivery(df: DataFrame, key: str, *cols: str | Column) -> DataFrame:
     """One row for each key with the given columns, whatever the number of deliveries.
 
-    Deliveries of a key have the same content (TESTDATA), so any of them will do; to be the same on every run it is
-    the one whose content hashes lowest. The aggregation combines before the shuffle, so a key delivered a million
-    times reaches its reducer once per input split. A null key is no key and gives no row.
+    It is the earliest one where the table tells when rows came in (ingested_at), whole: columns of two deliveries are
+    never mixed. Deliveries have the same content, so ties change nothing. The aggregation combines before the shuffle,
+    so a key delivered a million times reaches its reducer once per input split. A null key is no key and gives no row.
     """
     picked = [F.col(c) if isinstance(c, str) else c for c in cols]
-    flat = df.where(F.col(key).isNotNull()).select(key, *picked)
-    rest = [c for c in flat.columns if c != key]
-    return flat.groupBy(key).agg(*[F.first(c).alias(c) for c in rest]) if rest else flat.distinct()
+    at = F.col("ingested_at") if "ingested_at" in df.columns else F.lit(0)
+    flat = df.where(F.col(key).isNotNull()).select(key, *picked, at.alias("_came_in"))
+    rest = [c for c in flat.columns if c not in (key, "_came_in")]
+    if not rest:
+        return flat.select(key).distinct()
+    if len(rest) == 1:
+        return flat.groupBy(key).agg(F.min_by(rest[0], "_came_in").alias(rest[0]))
+    return flat.groupBy(key).agg(F.min_by(F.struct(*rest), "_came_in").alias("_row")).select(key, "_row.*")
 
 
 def spread(n: int, *keys: str | Column) -> Column:

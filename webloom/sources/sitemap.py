@@ -48,7 +48,7 @@ def sitemap_status(attempts: DataFrame) -> DataFrame:
 def first_seen(rows: DataFrame, site: str, url: str, order: list) -> DataFrame:
     """(site_id, url_norm, ord): distinct comparison forms in the order first met."""
     w = Window.partitionBy(site).orderBy(*order)
-    n = rows.select(F.col(site).alias("site_id"), U.normalize_url(url).alias("url_norm"), F.row_number().over(w).alias("ord"))
+    n = U.with_normalized(rows.select(F.col(site).alias("site_id"), F.col(url).alias("_u"), F.row_number().over(w).alias("ord")), url_norm="_u")
     return n.where("url_norm <> ''").groupBy("site_id", "url_norm").agg(F.min("ord").alias("ord"))
 
 
