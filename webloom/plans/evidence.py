@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from threading import RLock
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import entity as E
 from ..functions import text as T
 from ..functions import url as U
-from ..runtime import load, one_delivery, shared_table
+from ..runtime import load, one_delivery, shared_table, width
 from ..sources.html import extract_pages, graph_nodes
 
 # Paths and addresses with a role of their own.
@@ -166,15 +167,17 @@ class Audit:
     rendered: DataFrame
     keep: bool = False
     _made: dict = field(default_factory=dict, repr=False)
+    _lock: RLock = field(default_factory=RLock, repr=False)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         return shared_table(df, name) if self.keep else df
 
     def once(self, name: str, build) -> DataFrame:
-        """build() the first time it is asked for under this name, kept like the derived pages."""
-        if name not in self._made:
-            self._made[name] = self._kept(build(), name)
-        return self._made[name]
+        """build() the first time it is asked for under this name, kept like the derived pages; rules may ask at once."""
+        with self._lock:
+            if name not in self._made:
+                self._made[name] = self._kept(build(), name)
+            return self._made[name]
 
     @property
     def spark(self) -> SparkSession:
@@ -258,6 +261,7 @@ def from_tables(spark: SparkSession, d: str, with_capture: bool = True, keep: bo
     page = one_delivery(raw.where("deleted_at IS NULL AND site_id IS NOT NULL"), "page_id", *cols).drop("deleted_at")
     if with_capture:
         cap = load(spark, d, "capture").where("length(body) > 0 AND page_id IS NOT NULL")
+        cap = cap.select("page_id", "url", "final_url", "body", "fetched_at").repartition(width(spark), "page_id")
         latest = cap.groupBy("page_id").agg(F.max_by(F.struct("url", "final_url", "body"), F.struct("fetched_at", "body")).alias("c")).select("page_id", "c.*")
         more = extract_pages(latest).select("page_id", *_EXTRA)
         page = page.join(more, "page_id", "left")

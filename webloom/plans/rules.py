@@ -8,8 +8,10 @@ before they are gathered, so no site's hits are ever collected as a whole.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from .evidence import Audit
 
 #: Pieces of evidence and addresses a finding lists.
 EVIDENCE, URLS = 6, 25
+# Phrases that claim to be current, and types of nodes that offer something.
 CLAIMS_NOW = ("latest", "current", "currently", "up to date", "up-to-date", "today", "newest", "as of")
 PRODUCT = ("Product", "Offer", "AggregateOffer", "Service", "Event", "Course")
 
@@ -77,7 +80,7 @@ def mr002(a: Audit) -> DataFrame:
 def broken_targets(a: Audit) -> DataFrame:
     """(site_id, url_norm, status, referrers): destinations that failed with 400 or more but 429, with up to three
     referring pages; a link check's result stands before a fetch's."""
-    f = a.failure.where("status >= 400 AND status <> 429").select("site_id", U.normalize_url("url").alias("url_norm"), "status", (F.col("source") == "check").alias("checked"), "referrers")
+    f = U.with_normalized(a.failure.where("status >= 400 AND status <> 429"), url_norm="url").select("site_id", "url_norm", "status", (F.col("source") == "check").alias("checked"), "referrers")
     f = f.where("url_norm <> ''").groupBy("site_id", "url_norm").agg(F.max(F.struct("checked", "status", "referrers")).alias("f")).select("site_id", "url_norm", "f.*")
     bare = f.where("NOT checked").select("site_id", "url_norm")
     e = a.edges.select("site_id", F.col("dst").alias("url_norm"), "src").join(bare, ["site_id", "url_norm"], "left_semi")
@@ -92,8 +95,8 @@ def mr003(a: Audit) -> DataFrame:
     from_home = F.coalesce(F.array_contains("referrers", F.col("home_norm")), F.lit(False))
     kind = F.when(from_home, "home").otherwise("page")
     m = _fmt("status %d, linked from %s", "status", F.array_join("referrers", ", "))
-    b = b.withColumn("rk", F.row_number().over(Window.partitionBy("site_id").orderBy("url_norm")))
-    return hits(b, "MR-003", kind, "a linked destination fails", m, "rk", "url_norm", U.path_importance("url_norm") >= 8)
+    # Evidence is listed by address: all hits have one order, and the address breaks the tie.
+    return hits(b, "MR-003", kind, "a linked destination fails", m, F.lit(0), "url_norm", U.path_importance("url_norm") >= 8)
 
 
 def mr004(a: Audit) -> DataFrame:
@@ -163,8 +166,10 @@ def mr007(a: Audit) -> DataFrame:
     kind = F.when(F.col("first") & (F.col("n_urls") >= 3), "shared-many").when(F.col("first"), "shared").otherwise("member")
     m = _fmt('title "%s" on %d addresses; similarity %.2f', T.truncate("t", 90), "n_urls", "similarity")
     h2 = hits(j, "MR-007", kind, "pages with other content carry one title", m, "pos", shown=F.col("first"))
-    plain = c.where((F.col("words_main") >= 120) & (F.size("h1s") == 0)).withColumn("rk", F.row_number().over(w))
-    h3 = hits(plain, "MR-007", "no-h1", "a content page has no first-level heading", F.lit("0 headings of level 1"), shown=F.col("rk") == 1)
+    plain = c.where((F.col("words_main") >= 120) & (F.size("h1s") == 0))
+    lead = plain.groupBy("site_id").agg(F.min("page_ord").alias("lead"))
+    plain = plain.join(lead, "site_id")
+    h3 = hits(plain, "MR-007", "no-h1", "a content page has no first-level heading", F.lit("0 headings of level 1"), shown=F.col("page_ord") == F.col("lead"))
     return h1.unionByName(h2).unionByName(h3)
 
 
@@ -556,6 +561,23 @@ def all_hits(a: Audit, rules=None) -> DataFrame:
     return reduce(DataFrame.unionByName, [f(a) for k, f in RULES.items() if rules is None or k in rules])
 
 
+#: Rules whose hits are worked out at the same time.
+AT_ONCE = 6
+
+
+def stored_hits(a: Audit, rules=None) -> DataFrame:
+    """all_hits() in the shared folder. Each rule is a job of its own, a few at a time: one plan of all of them would be
+    planned anew after each of its hundreds of stages."""
+    for made in (a.pages, a.home, a.nodes, a.edges, a.sitemap_urls):  # what several rules read is made first
+        made.columns  # noqa: B018
+    for made in (name_candidates, anchor_rows, V.page_dates):
+        made(a)
+    wanted = [k for k in RULES if rules is None or k in rules]
+    store = inheritable_thread_target(a.spark)(lambda k: shared_table(RULES[k](a), f"hits-{k}"))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(store, wanted))
+
+
 def _case(branches: dict[str, Column], default) -> Column:
     out = None
     for k, v in branches.items():
@@ -649,7 +671,7 @@ def findings(a: Audit, rules=None) -> tuple[DataFrame, DataFrame]:
     (the first EVIDENCE hits), affected_urls (the first URLS addresses). withheld: hits that are signals only, or whose
     rule stays below its threshold on the site.
     """
-    h = shared_table(all_hits(a, rules), "hits")
+    h = shared_table(stored_hits(a, rules), "hits")
     j = judge(h, site_measures(a))
     yes = j.where("fires AND some")
     w = Window.partitionBy("site_id", "rule").orderBy("ord", "url")

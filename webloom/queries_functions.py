@@ -374,17 +374,15 @@ def h21(spark, d):
     return pages(spark, d, "meta").select("page_id", E.meta_get("meta", "og:site_name", "application-name").alias("v"))
 
 
+_PARTS_OF = "CASE WHEN coalesce({0}, '') = '' THEN [] ELSE list_transform(string_split({0}, ','), lambda x: lower(trim(x))) END"
+
+
 @query(
     "h22_robots_directives",
-    "SELECT page_id, array_to_string(list_concat(list_concat(list_transform(string_split(coalesce(meta['robots'], ''), ','), lambda x: lower(trim(x))), list_transform(string_split(coalesce(meta['googlebot'], ''), ','), lambda x: lower(trim(x)))), "
-    "list_transform(string_split(coalesce(headers['x-robots-tag'], ''), ','), lambda x: lower(trim(x)))), ' ') AS v FROM " + _ONE + " p",
+    "SELECT page_id, array_to_string(list_concat(list_concat(" + _PARTS_OF.format("meta['robots']") + ", " + _PARTS_OF.format("meta['googlebot']") + "), " + _PARTS_OF.format("headers['x-robots-tag']") + "), ' ') AS v FROM " + _ONE + " p",
 )
 def h22(spark, d):
-    p = pages(spark, d, "meta", "headers")
-    lists = [F.array_join(F.transform(F.split(F.coalesce(v, F.lit("")), ","), lambda x: F.lower(F.trim(x))), " ") for v in (F.col("meta")["robots"], F.col("meta")["googlebot"], F.col("headers")["x-robots-tag"])]
-    whole = F.array_join(E.robots_directives("meta", "headers"), " ")
-    # The SQL keeps blank entries of missing values; compare with the same.
-    return p.select("page_id", F.concat_ws(" ", *lists).alias("v"), whole.alias("w")).select("page_id", "v")
+    return pages(spark, d, "meta", "headers").select("page_id", F.array_join(E.robots_directives("meta", "headers"), " ").alias("v"))
 
 
 @query("n02_title_parts", r"SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(coalesce(title, ''), '\s*[|–—·•:]\s*|\s+-\s+'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM " + _ONE + " p")

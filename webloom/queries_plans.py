@@ -17,7 +17,7 @@ from .queries import sql_norm
 from .queries_functions import _STOP, _W, pages, query
 from .queries_functions import QUERIES as QUERIES
 from .queries_functions import SQL as SQL
-from .runtime import load, shared_dir
+from .runtime import load, one_delivery, ranked, shared_dir, width
 from .sources import sitemap as SM
 from .streaming import captures as S
 
@@ -35,6 +35,12 @@ def audit(spark: SparkSession, d: str, capture: bool = False) -> V.Audit:
     return V.from_tables(spark, d, with_capture=capture, keep=capture)
 
 
+def captures(spark: SparkSession, d: str) -> DataFrame:
+    """Captured documents, spread over all cores: parsing them costs far more than reading them."""
+    c = load(spark, d, "capture").where("page_id IS NOT NULL").select("page_id", "url", "final_url", "body")
+    return c.repartition(width(spark))
+
+
 # --- Relational operators ----------------------------------------------------------------------------------------------
 
 
@@ -43,46 +49,76 @@ def s13(spark, d):
     return audit(spark, d).edges
 
 
-_S14 = f"""WITH e AS (SELECT DISTINCT site_id, {sql_norm('src')} src, {sql_norm('dst')} dst FROM link_edge),
+_SLUG = "list_transform(list_filter(string_split(PATH, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$|^[0-9a-f]{8,}$|^.{25,}$|\\d{3,}') THEN '{slug}' ELSE lower(s) END)"
+_NPATH = "regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+_IMP = (
+    f"CASE WHEN lower({_NPATH}) IN ('', '/') THEN 12 ELSE greatest(0, greatest(0, " + ", ".join(f"CASE WHEN contains(lower({_NPATH}), '{h}') THEN {w} ELSE 0 END" for h, w in U.PATH_HINTS)
+    + f") - greatest(0, len(list_filter(string_split({_NPATH}, '/'), lambda s: s <> '')) - 2)) END"
+)
+_HOST = "regexp_replace(regexp_extract({}, '^[a-z]+://([^/?#]*)', 1), '^www[.]', '')"
+# Words of utility addresses and endings of assets, as SQL of its own.
+_NO_CRAWL = (
+    "(regexp_matches(u, '(?i)/(cart|checkout|basket|login|signin|sign-in|signup|register|account|my-?account|admin|wp-admin|wp-login|search|api|graphql|cdn-cgi|logout|password|order|orders|payment|wishlist|preferences|settings|session|auth)(/|$|[?])')"
+    f" OR regexp_matches({_NPATH}, '(?i)[.](jpg|jpeg|png|gif|webp|avif|svg|ico|css|js|mjs|json|xml|pdf|zip|gz|mp4|mp3|webm|woff2?|ttf|eot|dmg|exe|csv|xlsx?|docx?|pptx?)$'))"
+)
+
+_S14 = f"""WITH e AS (SELECT DISTINCT site_id, {sql_norm('src')} src, {sql_norm('dst')} u FROM link_edge),
 p AS (SELECT DISTINCT site_id, u FROM (SELECT site_id, {sql_norm('url')} u FROM page UNION ALL SELECT site_id, {sql_norm('final_url')} FROM page)),
-t AS (SELECT e.site_id, dst, count(DISTINCT src) n FROM e ANTI JOIN p ON p.site_id = e.site_id AND p.u = e.dst WHERE dst <> '' AND src <> '' AND NOT regexp_matches(dst, '{U.UTILITY}') GROUP BY ALL)
-SELECT site_id, dst, n AS referrers, rk FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, dst) rk FROM t) WHERE rk <= 10"""
+t AS (SELECT e.site_id, e.u, count(DISTINCT src) n, list_sort(list_distinct(list(src)))[1:3] refs FROM e ANTI JOIN p ON p.site_id = e.site_id AND p.u = e.u WHERE e.u <> '' AND src <> '' AND NOT {_NO_CRAWL.replace('(u,', '(e.u,').replace('regexp_extract(u,', 'regexp_extract(e.u,')} GROUP BY ALL),
+f AS (SELECT site_id, u, max(status) status FROM (SELECT site_id, {sql_norm('url')} u, coalesce(status, 0) status FROM fetch_failure) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, {_IMP} DESC, u) rk FROM t)
+SELECT r.site_id, r.u AS dst, n AS referrers, array_to_string(refs, ' ') AS first_referrers, rk, coalesce(f.status, -1) AS status, coalesce(f.status >= 400 OR f.status = 0, false) AS failed
+FROM r LEFT JOIN f ON f.site_id = r.site_id AND f.u = r.u WHERE rk <= 10"""
 
 
 @query("s14_unfetched_targets", _S14)
 def s14(spark, d):
-    """The ten unfetched link targets of a site with most referring pages."""
-    p = load(spark, d, "page")
-    known = p.select("site_id", U.normalize_url("url").alias("dst")).union(p.select("site_id", U.normalize_url("final_url"))).distinct()
-    t = audit(spark, d).edges.join(known, ["site_id", "dst"], "left_anti").where(~F.col("dst").rlike(U.UTILITY))
-    t = t.groupBy("site_id", "dst").agg(F.count(F.lit(1)).alias("referrers"))
-    w = Window.partitionBy("site_id").orderBy(F.col("referrers").desc(), "dst")
-    return t.withColumn("rk", F.row_number().over(w)).where("rk <= 10").select("site_id", "dst", "referrers", "rk")
+    """The ten content targets of a site that were not fetched, most referring pages first, then by importance; three
+    referrers of each, and what a fetch of it came to where one is on record."""
+    p = load(spark, d, "page").select("site_id", F.explode(F.array("url", "final_url")).alias("a")).distinct()
+    known = U.with_normalized(p, dst="a").select("site_id", "dst").distinct()
+    t = audit(spark, d).edges.join(known, ["site_id", "dst"], "left_anti").where(U.is_crawlable("dst"))
+    # The referrers of a target may be very many: counted, and the first three by a running minimum.
+    first = t.groupBy("site_id", "dst").agg(F.count(F.lit(1)).alias("referrers"))
+    w = Window.partitionBy("site_id").orderBy(F.col("referrers").desc(), F.col("importance").desc(), "dst")
+    top = first.withColumn("importance", U.path_importance("dst")).withColumn("rk", F.row_number().over(w)).where("rk <= 10")
+    refs = ranked(t.join(F.broadcast(top.select("site_id", "dst")), ["site_id", "dst"], "left_semi"), ["site_id", "dst"], ["src"], 3)
+    refs = refs.groupBy("site_id", "dst").agg(F.array_join(F.array_sort(F.collect_list("src")), " ").alias("first_referrers"))
+    f = U.with_normalized(load(spark, d, "fetch_failure").select("site_id", "url", F.coalesce("status", F.lit(0)).alias("status")), dst="url")
+    f = f.groupBy("site_id", "dst").agg(F.max("status").alias("status"))
+    j = top.join(refs, ["site_id", "dst"]).join(f, ["site_id", "dst"], "left")
+    return j.select("site_id", "dst", "referrers", "first_referrers", "rk", F.coalesce("status", F.lit(-1)).alias("status"), F.coalesce((F.col("status") >= 400) | (F.col("status") == 0), F.lit(False)).alias("failed"))
 
 
 def _candidates(spark, d):
-    s = load(spark, d, "sitemap_entry")
-    return s.select("site_id", U.normalize_url("loc").alias("url_norm"), F.col("entry_id").alias("o")).where("url_norm <> ''").groupBy("site_id", "url_norm").agg(F.min("o").alias("ord"))
-
-
-_SLUG = "list_transform(list_filter(string_split(PATH, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$|^[0-9a-f]{8,}$|^.{25,}$|\\d{3,}') THEN '{slug}' ELSE lower(s) END)"
-_NPATH = "regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
-_IMP = (
-    f"CASE WHEN lower({_NPATH}) IN ('', '/') THEN 12 ELSE greatest(0, greatest(0, " + ", ".join(f"CASE WHEN contains(lower({_NPATH}), '{h}') THEN {w} ELSE 0 END" for h, w in U.PATH_HINTS)
-    + f") - greatest(0, len(list_filter(string_split({_NPATH}, '/'), lambda s: s <> '')) - 2)) END"
-)
-_S11 = f"""WITH c AS (SELECT site_id, u, min(entry_id) o FROM (SELECT site_id, entry_id, {sql_norm('loc')} u FROM sitemap_entry) WHERE u <> '' GROUP BY ALL),
-k AS (SELECT *, '/' || array_to_string({_SLUG.replace('PATH', _NPATH)}, '/') t, {_IMP} v FROM c WHERE NOT regexp_matches(u, '{U.UTILITY}') AND NOT regexp_matches({_NPATH}, '{U.ASSET}')),
+    """What a crawl may look at next: links of the entry page first, then the sitemap, without the target itself."""
+    a = audit(spark, d)
+    h = a.pages.join(a.home.select("site_id", F.col("home_ord").alias("page_ord")), ["site_id", "page_ord"])
+    links = h.select("site_id", F.posexplode("links").alias("o", "l")).where("l.internal").select("site_id", F.col("o").cast("long").alias("o"), F.col("l.href").alias("u"))
+    maps = load(spark, d, "sitemap_entry").select("site_id", (F.col("entry_id") + F.lit(10**6)).alias("o"), F.col("loc").alias("u"))
+    c = U.with_normalized(links.unionByName(maps), url_norm="u").groupBy("site_id", "url_norm").agg(F.min("o").alias("ord")).where("url_norm <> ''")
+    root = U.with_normalized(a.site.select("site_id", "root_url"), root_norm="root_url")
+    return c.join(root, "site_id").where((F.col("url_norm") != F.col("root_norm")) & U.same_site("url_norm", "root_norm")).select("site_id", "url_norm", "ord")
+
+
+#: Pages a crawl reads of a site, the entry page included.
+MAX_PAGES = 20
+_HOMEPAGE = f"""(SELECT site_id, arg_min(links, (CASE WHEN depth = 0 OR {_PATH} IN ('', '/') THEN 0 ELSE 1 END) * 1000000 + page_ord) links FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY site_id)"""
+_S11 = f"""WITH x AS (SELECT site_id, l.o - 1 o, l.l.href h FROM (SELECT site_id, unnest(list_transform(links, lambda l, i: {{'o': i, 'l': l}})) l FROM {_HOMEPAGE} hp) WHERE l.l.internal
+  UNION ALL SELECT site_id, entry_id + 1000000, loc FROM sitemap_entry),
+c AS (SELECT site_id, u, min(o) o FROM (SELECT site_id, o, {sql_norm('h')} u FROM x) WHERE u <> '' GROUP BY ALL),
+s AS (SELECT site_id, {sql_norm('root_url')} root FROM site),
+k AS (SELECT c.*, '/' || array_to_string({_SLUG.replace('PATH', _NPATH)}, '/') t, {_IMP} v FROM c JOIN s USING (site_id) WHERE u <> root AND {_HOST.format('u')} = {_HOST.format('root')} AND NOT {_NO_CRAWL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY site_id, t ORDER BY v DESC, o) rnd, max(v) OVER (PARTITION BY site_id, t) top FROM k),
 b AS (SELECT *, dense_rank() OVER (PARTITION BY site_id ORDER BY top DESC, t) b FROM r),
-n AS (SELECT *, max(b) OVER (PARTITION BY site_id) nb FROM b WHERE b <= 20),
+n AS (SELECT *, max(b) OVER (PARTITION BY site_id) nb FROM b),
 q AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY rnd, b) pos FROM n WHERE rnd <= CASE WHEN nb <= 4 THEN 6 ELSE 3 END)
-SELECT site_id, u AS url_norm, t AS template, rnd AS round, pos AS position FROM q WHERE pos <= 20"""
+SELECT site_id, u AS url_norm, t AS template, rnd AS round, pos AS position FROM q WHERE pos <= {MAX_PAGES - 1}"""
 
 
 @query("s11_stratified_queue", _S11)
 def s11(spark, d):
-    return SM.stratified_queue(_candidates(spark, d))
+    return SM.stratified_queue(_candidates(spark, d), MAX_PAGES - 1)
 
 
 @query("s10_sitemap_first_seen", f"SELECT site_id, u AS url_norm, min(o) AS ord FROM (SELECT site_id, {sql_norm('loc')} u, row_number() OVER (PARTITION BY site_id ORDER BY entry_id, loc, seen_at) o FROM sitemap_entry) WHERE u <> '' GROUP BY ALL")
@@ -264,7 +300,7 @@ def rule_fi004(spark, d):
 @query("rule_hits_all")
 def rule_hits(spark, d):
     """Hits of every rule on every site, by kind."""
-    h = rules.all_hits(audit(spark, d, True))
+    h = rules.stored_hits(audit(spark, d, True))
     return h.groupBy("site_id", "rule", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -276,7 +312,7 @@ def extract_evidence(spark, d):
     """The HTML stage over every captured document."""
     from .sources.html import extract_pages
 
-    e = extract_pages(load(spark, d, "capture").where("page_id IS NOT NULL"))
+    e = extract_pages(captures(spark, d))
     return e.select("page_id", "title", "lang", F.size("links").alias("n_links"), T.word_count("text_main").alias("words_main"), F.size("jsonld").alias("n_jsonld"), "script_tags")
 
 
@@ -285,7 +321,7 @@ def extract_titles(spark, d):
     """Titles by the HTML stage against a regular expression: as many distinct ones per page."""
     from .sources.html import extract_pages
 
-    e = extract_pages(load(spark, d, "capture").where("page_id IS NOT NULL"))
+    e = extract_pages(captures(spark, d))
     return e.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("titles"))
 
 
@@ -335,7 +371,7 @@ def stream_first(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """One row per site: findings by severity, the highest score and the first finding."""
-    r = report.run(V.from_tables(spark, d, with_capture=False))
+    r = report.run(V.from_tables(spark, d))
     top = r.findings.groupBy("site_id").agg(F.max("priority_score").alias("top_score"), F.min_by("rule", "report_id").alias("first_rule"))
     return r.status.join(score.summary(r.findings), "site_id", "left").join(top, "site_id", "left").na.fill(0)
 
@@ -366,14 +402,101 @@ def s15(spark, d):
     return probe_plan(rules.declared_references(a), a.site)
 
 
+# A robots text for every site that names one, made of the same two rules by both sides.
+ROBOTS = "User-agent: *\nDisallow: /blog/\nDisallow: /products/ # not yet\nAllow: /\n\nUser-agent: other\nDisallow: /guides/\nCrawl-delay: 3\nSitemap: https://maps.example/s.xml"
+
+
+def robots(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "site").where("robots_url IS NOT NULL").select("site_id", F.lit(200).alias("status"), F.lit(ROBOTS).alias("text"))
+
+
+_BLOCKED = f"(r.site_id IS NOT NULL AND regexp_matches({_NPATH}, '^/(blog|products)/'))"
+_ROBOT_SITES = "(SELECT DISTINCT site_id FROM site WHERE robots_url IS NOT NULL)"
 _S12 = f"""WITH q AS ({_S11}), k AS (SELECT DISTINCT site_id, u FROM (SELECT site_id, {sql_norm('url')} u FROM page))
-SELECT q.site_id, q.url_norm, position, CASE WHEN k.u IS NULL THEN 'fetch' ELSE 'known' END AS state FROM q LEFT JOIN k ON k.site_id = q.site_id AND k.u = q.url_norm"""
+SELECT q.site_id, q.url_norm, position, CASE WHEN k.u IS NOT NULL THEN 'known' WHEN {_BLOCKED.replace(_NPATH, _NPATH.replace('(u,', '(q.url_norm,'))} THEN 'blocked' ELSE 'fetch' END AS state
+FROM q LEFT JOIN k ON k.site_id = q.site_id AND k.u = q.url_norm LEFT JOIN {_ROBOT_SITES} r ON r.site_id = q.site_id"""
 
 
 @query("s12_fetch_plan", _S12)
 def s12(spark, d):
+    """The queue with what is captured already and what robots texts (robots()) disallow."""
     from .sources.capture import fetch_plan
+    from .sources.robots import allowed
+
+    q = SM.stratified_queue(_candidates(spark, d), MAX_PAGES - 1)
+    may = allowed(robots(spark, d), q.select("site_id", F.col("url_norm").alias("url")))
+    return fetch_plan(q, load(spark, d, "page"), may)
+
+
+_PAGE_URLS = f"(SELECT DISTINCT site_id, u FROM (SELECT site_id, {sql_norm('url')} u FROM page) WHERE u <> '' AND site_id IS NOT NULL)"
+
+
+def page_urls(spark: SparkSession, d: str) -> DataFrame:
+    return U.with_normalized(load(spark, d, "page").where("site_id IS NOT NULL").select("site_id", "url").distinct(), u="url").where("u <> ''").select("site_id", F.col("u").alias("url")).distinct()
+
+
+@query("s03_robots_allowed_pages", f"SELECT p.site_id, p.u AS url, NOT {_BLOCKED.replace('(u,', '(p.u,')} AS allowed FROM {_PAGE_URLS} p LEFT JOIN {_ROBOT_SITES} r ON r.site_id = p.site_id")
+def s03(spark, d):
+    """Every page address under the robots text of its own site."""
+    from .sources.robots import allowed
+
+    return allowed(robots(spark, d), page_urls(spark, d))
+
+
+@query(
+    "s07_blocking_rules_pages",
+    f"SELECT p.site_id, p.u AS url, '/' || regexp_extract({_NPATH.replace('(u,', '(p.u,')}, '^/(blog|products|guides)/', 1) || '/' AS rule FROM {_PAGE_URLS} p JOIN {_ROBOT_SITES} r ON r.site_id = p.site_id WHERE regexp_matches({_NPATH.replace('(u,', '(p.u,')}, '^/(blog|products|guides)/')",
+)
+def s07_pages(spark, d):
+    """The rule, of any agent, that blocks an address."""
+    from .sources.robots import blocking_rules, robots_lines
+
+    return blocking_rules(robots_lines(robots(spark, d)), page_urls(spark, d)).select("site_id", "url", "rule")
+
+
+@query("s05_robots_lines_sites", f"SELECT site_id, a AS agent, f AS field, v AS value FROM {_ROBOT_SITES} r, (VALUES ('*', 'user-agent', '*'), ('*', 'disallow', '/blog/'), ('*', 'disallow', '/products/'), ('*', 'allow', '/'), ('other', 'user-agent', 'other'), ('other', 'disallow', '/guides/'), ('other', 'crawl-delay', '3'), ('other', 'sitemap', 'https://maps.example/s.xml')) t(a, f, v)")
+def s05_sites(spark, d):
+    from .sources.robots import robots_lines
+
+    return robots_lines(robots(spark, d)).select("site_id", "agent", "field", "value")
+
+
+_MAP_ROWS = "(SELECT site_id, entry_id, any_value(loc) loc, any_value(lastmod) lastmod FROM sitemap_entry WHERE site_id IS NOT NULL GROUP BY site_id, entry_id)"
+
+
+@query("s08_sitemap_documents", f"SELECT site_id, count(*) FILTER (loc IS NOT NULL) AS n_locs, min(loc) AS first, max(loc) AS last, count(lastmod) AS n_lastmod FROM {_MAP_ROWS} m GROUP BY site_id")
+def s08_documents(spark, d):
+    """Sitemaps written as documents, a hundred entries each, and read back."""
+    one = one_delivery(load(spark, d, "sitemap_entry").where("site_id IS NOT NULL"), "entry_id", "site_id", "loc", "lastmod")
+    esc = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
+    entry = F.concat(F.lit("<url>"), F.coalesce(F.concat(F.lit("<loc> "), esc("loc"), F.lit(" </loc>")), F.lit("")), F.coalesce(F.concat(F.lit("<lastmod>"), F.col("lastmod"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
+    docs = one.groupBy("site_id", F.floor(F.col("entry_id") / 100).alias("part")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    read = docs.select("site_id", SM.parse_sitemap("xml")["locs"].alias("locs"), SM.count_lastmod("xml").alias("n"))
+    return read.groupBy("site_id").agg(F.sum(F.size("locs")).alias("n_locs"), F.min(F.array_min("locs")).alias("first"), F.max(F.array_max("locs")).alias("last"), F.sum("n").alias("n_lastmod"))
+
+
+@query(
+    "s10_sitemap_status",
+    """WITH a AS (SELECT site_id, coalesce(status, 0) status, coalesce(body, '') b FROM capture WHERE site_id IS NOT NULL),
+    k AS (SELECT site_id, CASE WHEN status NOT BETWEEN 200 AND 299 OR trim(b) = '' THEN 'unreachable' ELSE 'invalid' END s FROM a)
+    SELECT site_id, CASE WHEN bool_or(s = 'invalid') THEN 'invalid' ELSE 'unreachable' END AS sitemap_status FROM k GROUP BY site_id
+    UNION ALL SELECT DISTINCT site_id, 'absent' FROM site WHERE site_id NOT IN (SELECT site_id FROM a)""",
+)
+def s10_status(spark, d):
+    """The precedence of outcomes, over captured pages taken for sitemaps (none of them is one)."""
+    tries = load(spark, d, "capture").where("site_id IS NOT NULL").select("site_id", "status", F.col("body").alias("xml"))
+    return SM.sitemap_status(tries, load(spark, d, "site").select("site_id"))
+
+
+@query("mr001_blocked_content", f"""WITH s AS (SELECT site_id, {sql_norm('root_url')} root FROM site WHERE robots_url IS NOT NULL),
+c AS (SELECT site_id, u, max(listed) listed FROM (SELECT site_id, {sql_norm('loc')} u, 1 listed FROM sitemap_entry UNION ALL SELECT site_id, dst, 0 FROM (SELECT site_id, {sql_norm('src')} src, {sql_norm('dst')} dst FROM link_edge) WHERE src <> '') WHERE u <> '' GROUP BY ALL),
+k AS (SELECT c.* FROM c JOIN s USING (site_id) WHERE {_HOST.format('u')} = {_HOST.format('root')} AND NOT {_NO_CRAWL} AND regexp_matches({_NPATH}, '^/(blog|products)/'))
+SELECT site_id, u AS url, CASE listed WHEN 1 THEN 'listed' ELSE 'linked' END AS kind, 'rule: Disallow: /' || regexp_extract({_NPATH}, '^/(blog|products)/', 1) || '/' AS measurement
+FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY u) rk FROM k) WHERE rk <= 40""")
+def rule_mr001(spark, d):
+    a = audit(spark, d)
+    a.robots = robots(spark, d)
+    return rules.mr001(a).select("site_id", "url", "kind", "measurement")
+
 
-    q = SM.stratified_queue(_candidates(spark, d))
-    free = spark.createDataFrame([], "site_id long, url string, allowed boolean")
-    return fetch_plan(q, load(spark, d, "page"), free)
+QUERIES["rule_mr001_blocked_content"], SQL["rule_mr001_blocked_content"] = QUERIES.pop("mr001_blocked_content"), SQL.pop("mr001_blocked_content")

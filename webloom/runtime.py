@@ -102,6 +102,12 @@ def one_delivery(df: DataFrame, key: str, *cols: str | Column) -> DataFrame:
     return flat.groupBy(key).agg(F.min_by(F.struct(*rest), "_came_in").alias("_row")).select(key, "_row.*")
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for a stage whose work is far above its bytes (parsing documents in Python), which the adaptive
+    coalescing, judging by bytes alone, would put into a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(n: int, *keys: str | Column) -> Column:
     """A salt in 0..n-1 that depends on the row's own keys only, so a re-run task gives the same rows."""
     return F.pmod(F.xxhash64(*keys), F.lit(n))

@@ -29,20 +29,22 @@ def count_lastmod(xml: Column | str) -> Column:
     return F.regexp_count(x, F.lit("(?i)<lastmod>"))
 
 
-def sitemap_status(attempts: DataFrame) -> DataFrame:
-    """(site_id, sitemap_status): the best outcome of a site's attempts, in the order ok, empty, invalid, unreachable,
-    absent. attempts: (site_id, status, xml)."""
+def sitemap_status(attempts: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """(site_id, sitemap_status) of a site's attempts: 'ok' if one could be read and the site has entries, 'empty' if one
+    could be read and none of its entries is an address, else 'invalid' if a document without locations was served,
+    else 'unreachable'; 'absent' for those of `sites` without an attempt. attempts: (site_id, status, xml).
+
+    A document that was not served (2xx) or is blank is unreachable, one without locations invalid.
+    """
     locs = parse_sitemap("xml")["locs"]
-    ok = (F.col("status") >= 200) & (F.col("status") < 300)
-    state = (
-        F.when(ok & (F.size(locs) > 0), F.lit(5))
-        .when(ok & F.ltrim(F.coalesce("xml", F.lit(""))).startswith("<"), 4)
-        .when(ok, 3)
-        .when(~F.coalesce("status", F.lit(0)).isin(404, 410), 2)
-        .otherwise(1)
-    )
+    served = F.coalesce((F.col("status") >= 200) & (F.col("status") < 300), F.lit(False)) & (F.trim(F.coalesce("xml", F.lit(""))) != "")
+    usable = F.exists(locs, lambda u: U.url_scheme(u).isin("http", "https"))
+    state = F.when(~served, 2).when(F.size(locs) == 0, 3).when(~usable, 4).otherwise(5)
     names = F.array(*[F.lit(x) for x in ("absent", "unreachable", "invalid", "empty", "ok")])
-    return attempts.groupBy("site_id").agg(F.max(state).alias("s")).select("site_id", F.element_at(names, F.col("s")).alias("sitemap_status"))
+    best = attempts.groupBy("site_id").agg(F.max(state).alias("s"))
+    if sites is not None:
+        best = sites.select("site_id").distinct().join(best, "site_id", "full")
+    return best.select("site_id", F.element_at(names, F.coalesce("s", F.lit(1))).alias("sitemap_status"))
 
 
 def first_seen(rows: DataFrame, site: str, url: str, order: list) -> DataFrame:
