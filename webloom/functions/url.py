@@ -104,60 +104,59 @@ def normalize_url(c: Column | str) -> Column:
     Scheme and authority in lower case, default port, fragment, path parameters and tracking keys dropped, repeated
     slashes collapsed, one trailing slash dropped, query re-encoded in its order.
     """
-    u = _clean(c)
-    scheme = url_scheme(c)
-    net = F.lower(F.regexp_extract(u, _PARTS, 2))
-    net = F.when(scheme == "http", F.regexp_replace(net, ":80$", "")).otherwise(F.regexp_replace(net, ":443$", ""))
-    path = F.regexp_replace(F.regexp_extract(u, _PARTS, 3), r";[^/]*$", "")
-    path = F.regexp_replace(path, "/{2,}", "/")
-    path = F.when(path == "", F.lit("/")).when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
-    query = _query(F.regexp_extract(u, _PARTS, 5))
+    whole = lambda parts: F.struct(*[v.alias(k) for k, v in parts.items()])
+    return bind(_clean(c), lambda u: bind(whole(_split(u)), lambda x: bind(whole(_forms(x)), _joined)))
+
+
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it: no part of an address is taken twice, and
+    the plan stays small wherever the optimizer copies the expression to."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _split(u: Column) -> dict[str, Column]:
+    """Scheme, authority, path and query of a clean address."""
+    return {
+        "s": F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)), "n": F.lower(F.regexp_extract(u, _PARTS, 2)),
+        "p": F.regexp_extract(u, _PARTS, 3), "q": F.regexp_extract(u, _PARTS, 5),
+    }
+
+
+def _forms(x) -> dict[str, Column]:
+    """Comparison forms of the parts."""
+    s, n, p = x["s"], x["n"], x["p"]
+    path = F.when(p.rlike(";|//"), F.regexp_replace(F.regexp_replace(p, r";[^/]*$", ""), "/{2,}", "/")).otherwise(p)
+    net = F.when((s == "http") & n.endswith(":80"), F.regexp_replace(n, ":80$", "")).when((s != "http") & n.endswith(":443"), F.regexp_replace(n, ":443$", "")).otherwise(n)
+    query = F.when(x["q"] == "", x["q"]).otherwise(_query(x["q"]))
+    return {"s": s, "n": net, "p": F.when(path == "", F.lit("/")).when(path == "/", path).otherwise(F.regexp_replace(path, "/$", "")), "q": query}
+
+
+def _joined(x) -> Column:
+    s, net, path, query = x["s"], x["n"], x["p"], x["q"]
     rooted = F.when((net != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    front = F.when((net != "") | path.startswith("/"), F.concat(scheme, F.lit("://"), net)).otherwise(
-        F.concat(scheme, F.lit(":"))
-    )
+    front = F.when((net != "") | path.startswith("/"), F.concat(s, F.lit("://"), net)).otherwise(F.concat(s, F.lit(":")))
     whole = F.concat(front, rooted, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     broken = net.contains("[") != net.contains("]")
-    return F.when(scheme.isin("http", "https") & ~broken, whole).otherwise(F.lit(""))
+    return F.when(s.isin("http", "https") & ~broken, whole).otherwise(F.lit(""))
 
 
 def with_normalized(df: DataFrame, **urls: Column | str) -> DataFrame:
-    """df with the comparison form (normalize_url) of each address as a column of the given name.
+    """df with the comparison form (normalize_url) of each address as a column of the given name."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in urls], *[normalize_url(c).alias(k) for k, c in urls.items()])
 
-    The same result in steps, each a column that the next uses: no part is worked out twice, and the plan stays small
-    and inside generated code. Names beginning with `_url_` are the steps' own.
-    """
-    keep = df.columns
-    made = list(urls)
-    one = lambda d, cols: d.select("*", *[v.alias(k) for k, v in cols.items()])
-    out = one(df, {f"_url_u_{k}": _clean(c) for k, c in urls.items()})
-    parts = {}
-    for k in made:
-        u = F.col(f"_url_u_{k}")
-        parts |= {
-            f"_url_s_{k}": F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)), f"_url_n_{k}": F.lower(F.regexp_extract(u, _PARTS, 2)),
-            f"_url_p_{k}": F.regexp_extract(u, _PARTS, 3), f"_url_q_{k}": F.regexp_extract(u, _PARTS, 5),
-        }
-    out = one(out, parts)
-    forms = {}
-    for k in made:
-        s, n, p, q = (F.col(f"_url_{x}_{k}") for x in "snpq")
-        path = F.when(p.rlike(";|//"), F.regexp_replace(F.regexp_replace(p, r";[^/]*$", ""), "/{2,}", "/")).otherwise(p)
-        forms |= {
-            f"_url_h_{k}": F.when((s == "http") & n.endswith(":80"), F.regexp_replace(n, ":80$", "")).when((s != "http") & n.endswith(":443"), F.regexp_replace(n, ":443$", "")).otherwise(n),
-            f"_url_r_{k}": F.when(path == "", F.lit("/")).when(path == "/", path).otherwise(F.regexp_replace(path, "/$", "")),
-            f"_url_k_{k}": _query(q),
-        }
-    out = one(out, forms)
-    final = []
-    for k in made:
-        s, net, path, query = (F.col(f"_url_{x}_{k}") for x in "shrk")
-        rooted = F.when((net != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-        front = F.when((net != "") | path.startswith("/"), F.concat(s, F.lit("://"), net)).otherwise(F.concat(s, F.lit(":")))
-        whole = F.concat(front, rooted, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-        broken = net.contains("[") != net.contains("]")
-        final.append(F.when(s.isin("http", "https") & ~broken, whole).otherwise(F.lit("")).alias(k))
-    return out.select(*[F.col(f"`{c}`") for c in keep if c not in urls], *final)
+
+def normalized_in_steps(df: DataFrame, **urls: Column | str) -> DataFrame:
+    """with_normalized() as a chain of projections inside generated code: faster, for tables of references as a whole.
+    Not for what is filtered by the result: the optimizer would unroll the chain into the filter. Names beginning with
+    `_url_` are the steps' own."""
+    keep = [c for c in df.columns if c not in urls]
+    step = lambda d, no, f: d.select("*", *[v.alias(f"_url_{no}{n}_{k}") for k in urls for n, v in f(k).items()])
+    part = lambda no, k: {n: F.col(f"_url_{no}{n}_{k}") for n in "snpq"}
+    out = step(df, 0, lambda k: {"u": _clean(urls[k])})
+    out = step(out, 1, lambda k: _split(F.col(f"_url_0u_{k}")))
+    out = step(out, 2, lambda k: _forms(part(1, k)))
+    last = [_joined(part(2, k)).alias(k) for k in urls]
+    return out.select(*[F.col(f"`{c}`") for c in keep], *last)
 
 
 def bare_host(c: Column | str) -> Column:
@@ -192,7 +191,10 @@ def url_template(c: Column | str) -> Column:
 
 
 def path_importance(c: Column | str) -> Column:
-    path = F.lower(F.when(url_path(c) == "", F.lit("/")).otherwise(url_path(c)))
+    return bind(F.lower(url_path(c)), lambda p: bind(F.when(p == "", F.lit("/")).otherwise(p), _importance))
+
+
+def _importance(path: Column) -> Column:
     best = F.greatest(F.lit(0), *[F.when(path.contains(h), F.lit(w)).otherwise(F.lit(0)) for h, w in PATH_HINTS])
     depth = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
     score = F.greatest(F.lit(0), best - F.greatest(F.lit(0), depth - 2))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.url import with_normalized
+from ..functions.url import normalized_in_steps
 from ..runtime import shared_table
 
 #: Length of a slice of time in days. A hot key's stream is cut at slice borders; what is open at a border is
@@ -40,7 +40,7 @@ def parent_intervals(pages: DataFrame) -> DataFrame:
         F.min("deleted_at").alias("closed"),
         F.min(F.struct("site_id", "url", "final_url")).alias("p"),
     )
-    named = with_normalized(one.select("p.site_id", "opened", "closed", "p.url", "p.final_url"), url="url", final_url="final_url")
+    named = normalized_in_steps(one.select("p.site_id", "opened", "closed", "p.url", "p.final_url"), url="url", final_url="final_url")
     return (
         named.select("site_id", F.explode(F.array_distinct(F.array("url", "final_url"))).alias("u"), "opened", "closed")
         .where((F.col("u") != "") & (F.col("closed").isNull() | (F.col("closed") > F.col("opened"))))
@@ -51,7 +51,7 @@ def parent_intervals(pages: DataFrame) -> DataFrame:
 def references(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
     """(src, id, k, t) of every reference; tables: name -> (table, id, address, time). k is null for what is no address."""
     parts = [
-        with_normalized(df.select(F.lit(name).alias("src"), F.col(i).alias("id"), "site_id", F.col(u).alias("u"), F.col(t).alias("t")), u="u").select(
+        normalized_in_steps(df.select(F.lit(name).alias("src"), F.col(i).alias("id"), "site_id", F.col(u).alias("u"), F.col(t).alias("t")), u="u").select(
             "src", "id", F.when(F.col("u") != "", _key(F.col("site_id"), F.col("u"))).alias("k"), "t"
         )
         for name, (df, i, u, t) in tables.items()

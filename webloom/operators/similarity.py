@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
+from ..runtime import shared_table
 
 
 def prefix_join(rows: DataFrame, block: list[str], key: str, tokens: str, threshold: float) -> DataFrame:
@@ -14,9 +15,11 @@ def prefix_join(rows: DataFrame, block: list[str], key: str, tokens: str, thresh
     Exact prefix filtering: two sets of similarity t or more share one of the first n - ceil(t * n) + 1 of their
     tokens in any fixed order. Tokens are ordered by how many rows of all blocks have them, rarest first, so frequent
     tokens (boilerplate of a template) hardly ever stand in a prefix and no posting list is long. Only prefixes are
-    joined; candidates are then verified on the full sets. Empty sets and nulls match nothing. Keys are unique.
+    joined; candidates are then verified on the full sets. Empty sets and nulls match nothing. Keys are unique. The sets
+    are hashed once and stored: they are read four times, and tokens cost more than their hashes.
     """
     base = rows.where(F.size(tokens) > 0).select(*block, F.col(key).alias("k"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("h"))
+    base = shared_table(base, "sets")
     freq = base.select(F.explode("h").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     n = F.size("h")
     ranked = (

@@ -17,7 +17,7 @@ from .queries import sql_norm
 from .queries_functions import _STOP, _W, pages, query
 from .queries_functions import QUERIES as QUERIES
 from .queries_functions import SQL as SQL
-from .runtime import load, one_delivery, ranked, shared_dir, width
+from .runtime import load, one_delivery, ranked, shared_dir, shared_table, width
 from .sources import sitemap as SM
 from .streaming import captures as S
 
@@ -77,12 +77,12 @@ def s14(spark, d):
     referrers of each, and what a fetch of it came to where one is on record."""
     p = load(spark, d, "page").select("site_id", F.explode(F.array("url", "final_url")).alias("a")).distinct()
     known = U.with_normalized(p, dst="a").select("site_id", "dst").distinct()
-    t = audit(spark, d).edges.join(known, ["site_id", "dst"], "left_anti").where(U.is_crawlable("dst"))
+    t = shared_table(audit(spark, d).edges.join(known, ["site_id", "dst"], "left_anti").where(U.is_crawlable("dst")), "targets")
     # The referrers of a target may be very many: counted, and the first three by a running minimum.
     first = t.groupBy("site_id", "dst").agg(F.count(F.lit(1)).alias("referrers"))
     w = Window.partitionBy("site_id").orderBy(F.col("referrers").desc(), F.col("importance").desc(), "dst")
     top = first.withColumn("importance", U.path_importance("dst")).withColumn("rk", F.row_number().over(w)).where("rk <= 10")
-    refs = ranked(t.join(F.broadcast(top.select("site_id", "dst")), ["site_id", "dst"], "left_semi"), ["site_id", "dst"], ["src"], 3)
+    refs = ranked(t.join(top.select("site_id", "dst"), ["site_id", "dst"], "left_semi"), ["site_id", "dst"], ["src"], 3)
     refs = refs.groupBy("site_id", "dst").agg(F.array_join(F.array_sort(F.collect_list("src")), " ").alias("first_referrers"))
     f = U.with_normalized(load(spark, d, "fetch_failure").select("site_id", "url", F.coalesce("status", F.lit(0)).alias("status")), dst="url")
     f = f.groupBy("site_id", "dst").agg(F.max("status").alias("status"))
@@ -287,6 +287,89 @@ def rule_ax001(spark, d):
     return c.groupBy("site_id").agg(F.count(F.lit(1)).alias("measured"), F.count_if(low).alias("uncovered"))
 
 
+# Nodes of a page's JSON-LD: objects that lists and @graph alone lead to; a typed wrapper of a graph counts, too.
+_NODES = f"""raw AS (SELECT site_id, page_id, page_ord, fu, tm, title, headings, status, i, CASE WHEN json_valid(jsonld[i]) THEN jsonld[i] ELSE 'null' END j
+    FROM (SELECT c.*, p.jsonld, unnest(range(1, len(p.jsonld) + 1)) i FROM {_CONTENT} c JOIN (SELECT page_id, any_value(jsonld) jsonld FROM page GROUP BY page_id) p USING (page_id))),
+nodes AS (SELECT site_id, page_id, page_ord, fu, tm, title, headings, n.value v, n.fullkey fk, i, n.id FROM raw, json_tree(raw.j) n
+    WHERE n.type = 'OBJECT' AND regexp_matches(n.fullkey, '^\\$(\\[[0-9]+\\]|\\."@graph"\\[[0-9]+\\])*$') AND (json_type(n.value, '$."@graph"') IS DISTINCT FROM 'ARRAY' OR n.value->>'$."@type"' IS NOT NULL)),
+typed AS (SELECT *, lower(CASE json_type(v, '$."@type"') WHEN 'ARRAY' THEN array_to_string(v->>'$."@type"[*]', ' ') ELSE v->>'$."@type"' END) ty FROM nodes)"""
+_ENTITY_TYPE = "regexp_matches(ty, '(^| )(" + "|".join(("organization", "localbusiness", "corporation", "website", "onlinestore", "store", "ngo", "educationalorganization", "governmentorganization", "restaurant", "medicalorganization", "sportsorganization", "performinggroup", "airline")) + ")( |$)')"
+
+
+@query("n01_entity_nodes", f"WITH {_NODES} SELECT site_id, count(*) AS n, count(DISTINCT page_id) AS pages FROM typed WHERE {_ENTITY_TYPE} GROUP BY site_id")
+def n01(spark, d):
+    """Nodes of entity types, and pages with one."""
+    from .functions import entity as E
+
+    n = audit(spark, d).nodes.where(F.arrays_overlap("types", F.array(*[F.lit(x) for x in E.ENTITY_TYPES])))
+    return n.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_ord").alias("pages"))
+
+
+@query("h23_node_types", f"WITH {_NODES} SELECT ty AS types, count(*) AS n, count(v->>'$.name') FILTER (json_type(v, '$.name') = 'VARCHAR') AS named FROM typed GROUP BY ty")
+def h23(spark, d):
+    n = audit(spark, d).nodes
+    return n.groupBy(F.when(F.size("types") > 0, F.array_join("types", " ")).alias("types")).agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("named"))
+
+
+_BROKEN = f"""f AS (SELECT site_id, u, max(c) c, arg_max(referrers, (c, status, referrers)) told FROM (SELECT DISTINCT site_id, {sql_norm('url')} u, status, CASE WHEN source = 'check' THEN 1 ELSE 0 END c, referrers FROM fetch_failure WHERE status >= 400 AND status <> 429) WHERE u <> '' GROUP BY ALL),
+e AS (SELECT DISTINCT site_id, src, dst FROM (SELECT site_id, {sql_norm('src')} src, {sql_norm('dst')} dst FROM link_edge) WHERE src <> '' AND dst <> ''),
+hp AS (SELECT site_id, {sql_norm('fu')} hn FROM (SELECT site_id, arg_min(fu, (CASE WHEN depth = 0 OR {_PATH} IN ('', '/') THEN 0 ELSE 1 END) * 1000000 + page_ord) fu FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY site_id))"""
+
+
+@query("rule_mr003_broken_destinations", f"WITH {_BROKEN}, g AS (SELECT f.site_id, f.u, list_sort(list_distinct(list(e.src)))[1:3] refs FROM f JOIN e ON e.site_id = f.site_id AND e.dst = f.u WHERE c = 0 GROUP BY f.site_id, f.u
+  UNION ALL SELECT site_id, u, list(r ORDER BY k) FROM (SELECT site_id, u, k, {sql_norm('r')} r FROM (SELECT site_id, u, unnest(told[1:3]) r, generate_subscripts(told[1:3], 1) k FROM f WHERE c = 1)) GROUP BY site_id, u) SELECT g.site_id, g.u AS url, array_to_string(refs, ' ') AS referrers, CASE WHEN list_contains(refs, hn) THEN 'home' ELSE 'page' END AS kind FROM g LEFT JOIN hp ON hp.site_id = g.site_id")
+def rule_mr003(spark, d):
+    """Linked destinations that fail, with three pages that link to them."""
+    a = audit(spark, d)
+    h = rules.mr003(a).select("site_id", "url", "kind")
+    return rules.broken_targets(a).withColumnRenamed("url_norm", "url").join(h, ["site_id", "url"]).select("site_id", "url", F.array_join("referrers", " ").alias("referrers"), "kind")
+
+
+@query("rule_mr007_untitled", f"SELECT site_id, count(*) AS n FROM (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY page_ord) rk FROM {_CONTENT} c WHERE trim(title) = '') WHERE rk <= 3 GROUP BY site_id")
+def rule_mr007_untitled(spark, d):
+    return rules.mr007(audit(spark, d)).where("kind IN ('untitled', 'untitled-core')").groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rule_mr008_no_sitemap", "SELECT site_id, 'sitemap ' || sitemap_status AS measurement FROM site WHERE coalesce(crawl_scope, 'site') = 'site' AND sitemap_status IN ('absent', 'unreachable', 'invalid', 'empty')")
+def rule_mr008(spark, d):
+    return rules.mr008(audit(spark, d)).where("kind = 'note'").select("site_id", "measurement")
+
+
+_CAN = f"(SELECT c.*, {sql_norm('canonical')} cn FROM {_CONTENT} c)"
+
+
+@query("rule_mr004_foreign_canonical", f"""SELECT c.site_id, c.fu AS url, 'canonical=' || canonical AS measurement FROM {_CAN} c JOIN site s USING (site_id)
+WHERE cn <> '' AND cn <> url_norm AND NOT regexp_matches(fu, '{V.PAGINATION}') AND {_HOST.format('cn')} <> '' AND {_HOST.format('cn')} <> regexp_replace(lower(regexp_extract(root_url, '//([^/?#]*)', 1)), '^www[.]', '')
+AND NOT EXISTS (SELECT 1 FROM (SELECT site_id, {sql_norm('url')} u FROM fetch_failure WHERE status >= 400) f WHERE f.site_id = c.site_id AND f.u = c.cn)""")
+def rule_mr004(spark, d):
+    return rules.mr004(audit(spark, d)).where("kind = 'host'").select("site_id", "url", "measurement")
+
+
+_PRODUCT_TYPE = "regexp_matches(ty, '(^| )(product|offer|aggregateoffer|service|event|course)( |$)')"
+_CTOK = "list_distinct(list_filter(regexp_extract_all(lower({}), " + _W + "), lambda w: len(w) > 1 AND w NOT IN (" + _STOP + ")))"
+
+
+@query("rule_fi007_unattributed", f"""WITH {_NODES},
+cr AS (SELECT DISTINCT page_id FROM nodes WHERE {" OR ".join(f"(json_type(v, '$.{k}') = 'VARCHAR' AND trim(v->>'$.{k}') <> '') OR (json_type(v, '$.{k}') = 'ARRAY' AND json_array_length(v, '$.{k}') > 0) OR (json_type(v, '$.{k}') = 'OBJECT' AND coalesce(v->>'$.{k}.name', '') <> '')" for k in ("author", "publisher", "creator"))}),
+ar AS (SELECT DISTINCT page_id FROM typed WHERE regexp_matches(ty, '(^| )(article|blogposting|newsarticle|report)( |$)'))
+SELECT c.site_id, c.fu AS url FROM {_CONTENT} c WHERE (page_id IN (SELECT page_id FROM ar) OR (regexp_matches(path, '{V.EDITORIAL_PATH}') AND wm >= 150)) AND page_id NOT IN (SELECT page_id FROM cr) AND coalesce(nullif(meta['author'], ''), nullif(meta['article:author'], ''), '') = ''""")
+def rule_fi007(spark, d):
+    """Editorial pages by type or address without an author or publisher in markup."""
+    a = audit(spark, d)
+    h = rules.fi007(a).select("site_id", "url")
+    art = a.nodes.where(F.arrays_overlap("types", F.array(*[F.lit(x) for x in ("article", "blogposting", "newsarticle", "report")]))).select("site_id", "page_ord").distinct().withColumn("art", F.lit(True))
+    c = a.content.join(art, ["site_id", "page_ord"], "left").where(F.coalesce("art", F.lit(False)) | (F.col("path").rlike(V.EDITORIAL_PATH) & (F.col("words_main") >= 150)))
+    return h.join(c.select("site_id", F.col("final_url").alias("url")).distinct(), ["site_id", "url"], "left_semi")
+
+
+@query("audit_scope_and_status", f"""WITH n AS (SELECT p.site_id, count(*) FILTER (status BETWEEN 200 AND 299 AND (contains({_CT}, 'html') OR ({_CT} = '' AND (title <> '' OR tm <> '')))) readable FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY p.site_id),
+f AS (SELECT DISTINCT site_id FROM fetch_failure)
+SELECT s.site_id, CASE WHEN coalesce(readable, 0) = 0 THEN 'inconclusive' WHEN coalesce(crawl_scope, 'site') = 'page' THEN 'complete' WHEN coalesce(readable, 0) < 3 OR len(coalesce(limitations, [])) > 0 OR f.site_id IS NOT NULL THEN 'partial' ELSE 'complete' END AS status
+FROM site s LEFT JOIN n ON n.site_id = s.site_id LEFT JOIN f ON f.site_id = s.site_id""")
+def audit_scope(spark, d):
+    return score.audit_status(rules.site_measures(audit(spark, d)))
+
+
 @query("rule_fi002_no_identity")
 def rule_fi002(spark, d):
     return rules.fi002(audit(spark, d)).select("site_id", "url")
@@ -325,6 +408,69 @@ def extract_titles(spark, d):
     return e.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("titles"))
 
 
+def _markup(select: str) -> str:
+    """SQL over captured documents, one row a page: sums over its fetches."""
+    return f"WITH b AS (SELECT page_id, coalesce(body, '') b FROM capture WHERE page_id IS NOT NULL) {select}"
+
+
+def extracted(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.html import extract_pages
+
+    return extract_pages(captures(spark, d))
+
+
+_DROPPED = r"regexp_replace(regexp_replace(b, '(?s)<head>.*?(</head>|<body>|$)', ' '), '(?s)<(script|noscript|style)[^>]*>.*?(</(script|noscript|style)>|$)', ' ', 'g')"
+_AREA = r"'(?s)<(nav|footer)[^>]*>.*?(</(nav|footer)>|$)'"
+_UNTAG = r"regexp_replace(regexp_replace({}, '<[^>]*(>|$)', ' ', 'g'), '&[a-z]+;|&#[x0-9a-f]+;', ' ', 'g')"
+_WORDS = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), ' ')"
+
+
+@query("h03_text_regions", _markup(f"SELECT page_id, count(*) AS n, min(md5({_WORDS.format(_UNTAG.format(f'regexp_replace({_DROPPED}, {_AREA}, chr(32), chr(103))'))})) AS main, min(md5({_WORDS.format(_UNTAG.format(f'array_to_string(regexp_extract_all({_DROPPED}, {_AREA}), chr(32))'))})) AS chrome FROM b GROUP BY page_id"))
+def h03(spark, d):
+    """Words of content and of navigation elements, in order."""
+    w = lambda c: F.md5(F.array_join(F.regexp_extract_all(F.lower(F.regexp_replace(c, "&[a-z]+;", " ")), F.lit("([a-z0-9]+)"), F.lit(1)), " "))
+    return extracted(spark, d).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min(w("text_main")).alias("main"), F.min(w("text_chrome")).alias("chrome"))
+
+
+@query("h06_lang_and_bytes", _markup("SELECT page_id, max(lower(regexp_extract(b, '<html[^>]*lang=\"([^\"]*)\"', 1))) AS lang, sum(length(b)) AS html_bytes FROM b GROUP BY page_id"))
+def h06(spark, d):
+    return extracted(spark, d).groupBy("page_id").agg(F.max("lang").alias("lang"), F.sum("html_bytes").alias("html_bytes"))
+
+
+@query("h07_meta", _markup("SELECT page_id, max(lower(array_to_string(list_sort(list_distinct(regexp_extract_all(b, '<meta name=\"([^\"]*)\" content=\"[^\"]*\">', 1))), ' '))) AS names FROM b GROUP BY page_id"))
+def h07(spark, d):
+    return extracted(spark, d).groupBy("page_id").agg(F.max(F.array_join(F.array_sort(F.map_keys("meta")), " ")).alias("names"))
+
+
+@query("h09_headings", _markup("SELECT page_id, sum(len(regexp_extract_all(b, '<h[1-6][^>]*>[^<]*[^<\\s][^<]*</h[1-6]>'))) AS n, max(trim(regexp_replace(replace(replace(regexp_extract(b, '<h2>([^<]*)</h2>', 1), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS first FROM b GROUP BY page_id"))
+def h09(spark, d):
+    e = extracted(spark, d)
+    h2 = F.coalesce(F.try_element_at(F.filter("headings", lambda h: h["level"] == 2), F.lit(1))["heading"], F.lit(""))
+    return e.groupBy("page_id").agg(F.sum(F.size("headings")).alias("n"), F.max(h2).alias("first"))
+
+
+@query("h10_h11_links_and_images", _markup("SELECT page_id, sum(len(regexp_extract_all(b, '<a [^>]*href=\"[^\"]+\"'))) AS links, sum(len(regexp_extract_all(b, '<img [^>]*>'))) AS images, sum(len(regexp_extract_all(b, '<img [^>]*alt=\"[^\"]+\"'))) AS described FROM b GROUP BY page_id"))
+def h11(spark, d):
+    e = extracted(spark, d)
+    return e.groupBy("page_id").agg(F.sum(F.size("links")).alias("links"), F.sum(F.size("images")).alias("images"), F.sum(F.size(F.filter("images", lambda i: i["alt"] != ""))).alias("described"))
+
+
+@query("h12_jsonld_errors", _markup("SELECT page_id, sum(len(list_filter(regexp_extract_all(b, '(?s)<script type=\"application/ld\\+json\">(.*?)</script>', 1), lambda x: trim(x) <> '' AND NOT json_valid(x)))) AS broken FROM b GROUP BY page_id"))
+def h12(spark, d):
+    """JSON-LD blocks that can't be read."""
+    return extracted(spark, d).groupBy("page_id").agg(F.sum(F.size("jsonld_errors")).alias("broken"))
+
+
+@query("h13_h18_scripts_and_roots", _markup("SELECT page_id, sum(len(regexp_extract_all(b, '<script[ >]')))::BIGINT AS scripts, bool_or(regexp_matches(b, '<div id=\"(root|app|__next|__nuxt|svelte|main-app)\"></div>')) AS empty_root FROM b GROUP BY page_id"))
+def h13(spark, d):
+    return extracted(spark, d).groupBy("page_id").agg(F.sum("script_tags").alias("scripts"), F.max("empty_app_root").alias("empty_root"))
+
+
+@query("h14_noscript", _markup("SELECT page_id, max(trim(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(b, '(?s)<noscript>(.*?)</noscript>', 1), ' '), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text FROM b GROUP BY page_id"))
+def h14(spark, d):
+    return extracted(spark, d).groupBy("page_id").agg(F.max("noscript_text").alias("text"))
+
+
 @query("audit_findings")
 def audit_findings(spark, d):
     f = report.run(audit(spark, d, True)).findings
@@ -346,9 +492,11 @@ def audit_reports(spark, d):
     return report.reports(report.run(audit(spark, d, True)))
 
 
-@query("audit_agent_brief")
+@query("audit_agent_brief", f"""SELECT site_id, page_ord, fu AS url, status, coalesce(depth, 1) AS depth, title, coalesce(list_filter(coalesce(headings, []), lambda h: h.level = 1 AND trim(h.heading) <> '')[1].heading, '') AS h1, canonical,
+  len(regexp_extract_all(lower(tm), {_W})) AS main_words, len(list_filter(coalesce(links, []), lambda l: l.internal)) AS internal_links, len(list_filter(coalesce(links, []), lambda l: l.internal AND l.region = 'main')) AS main_region_links
+  FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id)""")
 def audit_brief(spark, d):
-    return report.agent_brief(report.Result(None, None, None, None, None, audit(spark, d)))
+    return report.agent_brief(report.Result(None, None, None, None, None, audit(spark, d))).drop("robots_directives")
 
 
 @query("names_published")

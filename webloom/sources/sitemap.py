@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from ..runtime import shared_table
 
 LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 
@@ -68,6 +69,7 @@ def stratified_queue(candidates: DataFrame, budget: int = 20, per_bucket: int =
     own = Window.partitionBy("site_id", "template").orderBy(F.col("importance").desc(), "ord")
     # Rounds beyond the larger cap are of no use: the ranking is cut before anything else is ordered.
     c = c.withColumn("round", F.row_number().over(own)).where(F.col("round") <= max(per_bucket, per_bucket_few))
+    c = shared_table(c, "queue")  # a few rows a template, read three times below
     heads = c.where("round = 1").select("site_id", "template", F.col("importance").alias("top"))
     rank = Window.partitionBy("site_id").orderBy(F.col("top").desc(), "template")
     heads = heads.withColumn("bucket", F.row_number().over(rank)).where(F.col("bucket") <= budget)
