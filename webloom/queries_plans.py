@@ -316,8 +316,8 @@ e AS (SELECT DISTINCT site_id, src, dst FROM (SELECT site_id, {sql_norm('src')}
 hp AS (SELECT site_id, {sql_norm('fu')} hn FROM (SELECT site_id, arg_min(fu, (CASE WHEN depth = 0 OR {_PATH} IN ('', '/') THEN 0 ELSE 1 END) * 1000000 + page_ord) fu FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY site_id))"""
 
 
-@query("rule_mr003_broken_destinations", f"WITH {_BROKEN}, g AS (SELECT f.site_id, f.u, list_sort(list_distinct(list(e.src)))[1:3] refs FROM f JOIN e ON e.site_id = f.site_id AND e.dst = f.u WHERE c = 0 GROUP BY f.site_id, f.u
-  UNION ALL SELECT site_id, u, list(r ORDER BY k) FROM (SELECT site_id, u, k, {sql_norm('r')} r FROM (SELECT site_id, u, unnest(told[1:3]) r, generate_subscripts(told[1:3], 1) k FROM f WHERE c = 1)) GROUP BY site_id, u) SELECT g.site_id, g.u AS url, array_to_string(refs, ' ') AS referrers, CASE WHEN list_contains(refs, hn) THEN 'home' ELSE 'page' END AS kind FROM g LEFT JOIN hp ON hp.site_id = g.site_id")
+@query("rule_mr003_broken_destinations", f"""WITH {_BROKEN}, g AS (SELECT f.site_id, f.u, list_sort(list_distinct(list(e.src)))[1:3] refs FROM f JOIN e ON e.site_id = f.site_id AND e.dst = f.u WHERE c = 0 GROUP BY f.site_id, f.u
+  UNION ALL SELECT site_id, u, list(r ORDER BY k) FROM (SELECT site_id, u, k, {sql_norm('r')} r FROM (SELECT site_id, u, unnest(told[1:3]) r, generate_subscripts(told[1:3], 1) k FROM f WHERE c = 1)) GROUP BY site_id, u) SELECT g.site_id, g.u AS url, array_to_string(refs, ' ') AS referrers, CASE WHEN list_contains(refs, hn) THEN 'home' ELSE 'page' END AS kind FROM g LEFT JOIN hp ON hp.site_id = g.site_id""")
 def rule_mr003(spark, d):
     """Linked destinations that fail, with three pages that link to them."""
     a = audit(spark, d)
