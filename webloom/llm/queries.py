@@ -64,14 +64,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand(*neardup.near_duplicates(load(spark, d, "page")))
 
 
-@query("p4_links")
+_P4_REPS = _P4_SQL.split("g AS (SELECT DISTINCT page_id")[0] + r"""
+m AS (SELECT page_id AS id, min(page_id) OVER (PARTITION BY ws) AS rep, ws FROM w WHERE len(ws) >= 40)
+"""
+
+
+@query(
+    "p4_links",
+    _P4_REPS + r""",
+g AS (SELECT DISTINCT id, array_to_string(ws[i:i+5], ' ') s FROM (SELECT id, ws, unnest(range(1, len(ws) - 4)) i FROM m WHERE id = rep)),
+n AS (SELECT id, count(*) n FROM g GROUP BY id),
+duo AS (SELECT a.id a, b.id b, count(*) c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, round(c / (x.n + y.n - c), 6)::DOUBLE AS jaccard FROM duo JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c)
+""",
+)
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Links between different texts only, with their similarity."""
     links, _ = neardup.near_duplicates(load(spark, d, "page"))
     return links.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("p4_members")
+@query("p4_members", _P4_REPS + "SELECT id, rep FROM m")
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
     """Every compared page with the representative of its exact copies."""
     return neardup.near_duplicates(load(spark, d, "page"))[1]
@@ -102,13 +115,29 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.matches(load(spark, d, "documents"), load(spark, d, "eval_item")).select("doc_id", "item_id").distinct()
 
 
-@query("p8_leaks_per_item")
+# Matching grams by position: grams that follow each other on one diagonal are one match of 12 words more.
+_P8_RUNS = _P8_SQL.split("ig AS")[0] + r"""
+ig AS (SELECT item_id, i ipos, array_to_string(w[i:i+12], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) i FROM iw)),
+dg AS (SELECT doc_id, i dpos, n, array_to_string(w[i:i+12], ' ') g FROM (SELECT doc_id, w, len(w) n, unnest(range(1, len(w) - 11)) i FROM dw)),
+hit AS (SELECT doc_id, item_id, dpos, n, dpos - ipos diag FROM dg JOIN ig USING (g)),
+run AS (SELECT doc_id, item_id, count(*) + 12 AS len FROM (SELECT *, dpos - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY dpos) isle FROM hit) GROUP BY doc_id, item_id, diag, isle)
+"""
+
+
+@query("p8_leaks_per_item", _P8_RUNS + "SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(len)::INT AS longest FROM run GROUP BY item_id")
 def p8_leaks_per_item(spark: SparkSession, d: str) -> DataFrame:
     """Test items that leaked: into how many documents, and their longest match."""
     m = leakage.matches(load(spark, d, "documents"), load(spark, d, "eval_item"))
     return m.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("longest").alias("longest"))
 
 
+@query("p8_coverage", _P8_RUNS + ", cov AS (SELECT doc_id, any_value(n) n, count(DISTINCT dpos + k) AS c FROM (SELECT DISTINCT doc_id, n, dpos FROM hit), range(13) t(k) GROUP BY doc_id) SELECT doc_id, c AS removed_words, round(c / n, 6)::DOUBLE AS coverage, c > 0.5 * n AS dropped FROM cov")
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What is cut out of documents that hold a leak."""
+    c = leakage.decontaminate(load(spark, d, "documents"), load(spark, d, "eval_item")).where("removed_words > 0")
+    return c.select("doc_id", "removed_words", F.round("coverage", 6).alias("coverage"), "dropped")
+
+
 @query("p8_clean")
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.decontaminate(load(spark, d, "documents"), load(spark, d, "eval_item"))
