@@ -256,7 +256,7 @@ def _name_candidates(a: Audit) -> DataFrame:
 def published_names(a: Audit) -> DataFrame:
     """(site_id, norm, raw, n, rk): distinct names of a site, most attested first."""
     g = name_candidates(a).groupBy("site_id", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "raw")).alias("f"))
-    w = Window.partitionBy("site_id").orderBy(F.col("n").desc(), F.col("f.ord"))
+    w = Window.partitionBy("site_id").orderBy(F.col("n").desc(), F.col("f.ord"), "norm")
     return g.select("site_id", "norm", F.col("f.raw").alias("raw"), "n", F.row_number().over(w).alias("rk"))
 
 

@@ -14,7 +14,7 @@ from .plans import evidence as V
 from .plans import registry as R
 from .plans import report, rules, score
 from .queries import sql_norm
-from .queries_functions import _STOP, _W, pages, query
+from .queries_functions import _NORM, _STOP, _W, pages, query
 from .queries_functions import QUERIES as QUERIES
 from .queries_functions import SQL as SQL
 from .runtime import load, one_delivery, ranked, shared_dir, shared_table, width
@@ -362,6 +362,20 @@ def rule_fi007(spark, d):
     return h.join(c.select("site_id", F.col("final_url").alias("url")).distinct(), ["site_id", "url"], "left_semi")
 
 
+_SEEN = "regexp_extract_all(tm, '(?i)(?:₹|rs\\\\.?|inr|\\\\$|usd|us\\\\$|€|eur|£|gbp|¥|jpy|aud|cad)\\\\s?(?:\\\\d)')".replace("\\\\", "\\")
+
+
+@query("rule_fi003_declared_names", f"""WITH {_NODES}, n AS (SELECT site_id, page_ord, fu, CASE json_type(v, '$.name') WHEN 'VARCHAR' THEN v->>'$.name' END nm, lower(tm || ' ' || title || ' ' || array_to_string(list_transform(list_filter(coalesce(headings, []), lambda h: h.level = 1 AND trim(h.heading) <> ''), lambda h: h.heading), ' ')) low, {_SEEN} seen FROM typed WHERE {_PRODUCT_TYPE}),
+t AS (SELECT *, {_CTOK.format("coalesce(nm, '')")} nt, {_CTOK.format('low')} bt FROM n)
+SELECT site_id, fu AS url, count(*) AS n FROM t WHERE len(seen) = 0 AND len(nt) >= 2 AND len(list_intersect(nt, bt)) < 0.25 * len(nt) GROUP BY site_id, fu""")
+def rule_fi003_names(spark, d):
+    """Declared names that pages without any price do not show."""
+    a = audit(spark, d)
+    h = rules.fi003(a).where("kind = 'name'")
+    c = a.content.where(F.size(F.regexp_extract_all("text_main", F.lit(T.CURRENCY), F.lit(1))) == 0).select("site_id", F.col("final_url").alias("url")).distinct()
+    return h.join(c, ["site_id", "url"], "left_semi").groupBy("site_id", "url").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("audit_scope_and_status", f"""WITH n AS (SELECT p.site_id, count(*) FILTER (status BETWEEN 200 AND 299 AND (contains({_CT}, 'html') OR ({_CT} = '' AND (title <> '' OR tm <> '')))) readable FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY p.site_id),
 f AS (SELECT DISTINCT site_id FROM fetch_failure)
 SELECT s.site_id, CASE WHEN coalesce(readable, 0) = 0 THEN 'inconclusive' WHEN coalesce(crawl_scope, 'site') = 'page' THEN 'complete' WHEN coalesce(readable, 0) < 3 OR len(coalesce(limitations, [])) > 0 OR f.site_id IS NOT NULL THEN 'partial' ELSE 'complete' END AS status
@@ -499,9 +513,50 @@ def audit_brief(spark, d):
     return report.agent_brief(report.Result(None, None, None, None, None, audit(spark, d))).drop("robots_directives")
 
 
-@query("names_published")
+_TITLE_PARTS = r"list_filter(list_transform(string_split_regex(title, '\s*[|–—·•:]\s*|\s+-\s+'), lambda x: trim(x)), lambda x: x <> '')"
+_HOLDER = r"trim(regexp_extract({}, '(?i)(?:©|\(c\)|copyright)\s*(?:\d{{4}}(?:\s*[-–]\s*\d{{4}})?)?\s*,?\s*([A-Z][A-Za-z0-9&''’.\- ]{{1,50}})', 1), ' .,')"
+_RECURRING = f"""parts AS (SELECT site_id, page_ord, fu, {_TITLE_PARTS} p FROM {_CONTENT} c),
+ends AS (SELECT site_id, page_ord, 0 AS i, p[1] raw FROM parts WHERE len(p) >= 2 UNION ALL SELECT site_id, page_ord, 1, p[len(p)] FROM parts WHERE len(p) >= 2),
+many AS (SELECT site_id, norm, count(*) n, min((page_ord, i)) f, arg_min(raw, (page_ord, i)) raw FROM (SELECT *, {_NORM.format('raw')} norm FROM ends) WHERE length(norm) >= 2 GROUP BY site_id, norm HAVING count(*) >= 2),
+recur AS (SELECT site_id, arg_max(norm, (n, -f[1], -f[2])) norm, arg_max(raw, (n, -f[1], -f[2])) raw FROM many GROUP BY site_id)"""
+_NAMES = f"""{_NODES}, {_RECURRING},
+said AS (SELECT site_id, 'og:site_name' source, coalesce(nullif(meta['og:site_name'], ''), nullif(meta['application-name'], ''), '') raw, page_ord * 8 o FROM {_CONTENT} c
+  UNION ALL SELECT site_id, 'entity markup', CASE json_type(v, '$.name') WHEN 'VARCHAR' THEN v->>'$.name' END, page_ord * 8 + 1 FROM typed WHERE {_ENTITY_TYPE}
+  UNION ALL SELECT site_id, 'publisher', CASE json_type(v, '$.publisher.name') WHEN 'VARCHAR' THEN v->>'$.publisher.name' END, page_ord * 8 + 2 FROM typed WHERE {_ENTITY_TYPE} AND json_type(v, '$.publisher') = 'OBJECT'
+  UNION ALL SELECT site_id, 'copyright', coalesce(nullif({_HOLDER.format('tc')}, ''), {_HOLDER.format('tm')}), page_ord * 8 + 4 FROM {_CONTENT} c
+  UNION ALL SELECT site_id, 'recurring title', raw, 1099511627776 FROM recur),
+named AS (SELECT * FROM (SELECT *, {_NORM.format("coalesce(raw, '')")} norm FROM said) WHERE length(norm) >= 2)"""
+
+
+@query("n02_recurring_title", f"WITH {_RECURRING} SELECT site_id, norm, raw FROM recur")
+def n02_recurring(spark, d):
+    return rules.recurring_title(audit(spark, d)).select("site_id", "norm", "raw")
+
+
+@query("n03_name_candidates", f"WITH {_NAMES} SELECT site_id, source, norm, count(*) AS n FROM named GROUP BY site_id, source, norm")
+def n03_candidates(spark, d):
+    return rules.name_candidates(audit(spark, d)).groupBy("site_id", "source", "norm").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("names_published", f"WITH {_NAMES}, g AS (SELECT site_id, norm, count(*) n, min(o) f FROM named GROUP BY site_id, norm) SELECT site_id, norm, n FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, f, norm) rk FROM g) WHERE rk = 1")
 def names_published(spark, d):
-    return rules.published_names(audit(spark, d, True)).where("rk = 1").select("site_id", "norm", "n")
+    return rules.published_names(audit(spark, d)).where("rk = 1").select("site_id", "norm", "n")
+
+
+def _sql_compatible(a: str, b: str) -> str:
+    ta, tb = f"string_split({a}, ' ')", f"string_split({b}, ' ')"
+    both = f"len(list_intersect(list_distinct({ta}), list_distinct({tb})))"
+    da, db = f"len(list_distinct({ta}))", f"len(list_distinct({tb}))"
+    short = lambda x, tx, ty: f"(len({tx}) = 1 AND length({x}) >= 2 AND array_to_string(list_transform({ty}, lambda q: left(q, 1)), '') = {x})"
+    return f"({a} = {b} OR {both} IN ({da}, {db}) OR contains({a}, {b}) OR contains({b}, {a}) OR {short(a, ta, tb)} OR {short(b, tb, ta)} OR {both} >= 0.5 * ({da} + {db} - {both}))"
+
+
+@query("rule_fi001_names_in_conflict", f"WITH {_NAMES}, u AS (SELECT DISTINCT site_id, source, norm FROM named) SELECT x.site_id, x.source || ' / ' || y.source AS sources, count(*) AS pairs FROM u x JOIN u y ON x.site_id = y.site_id AND x.source < y.source AND NOT {_sql_compatible('x.norm', 'y.norm')} GROUP BY ALL")
+def rule_fi001(spark, d):
+    h = rules.fi001(audit(spark, d)).where("kind = 'pair'")
+    # "SOURCE "RAW" against SOURCE "RAW"" holds both kinds of places.
+    src = F.concat(F.regexp_extract("measurement", '^([a-z:_ ]+) "', 1), F.lit(" / "), F.regexp_extract("measurement", '" against ([a-z:_ ]+) "', 1))
+    return h.groupBy("site_id", src.alias("sources")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("references_declared")
