@@ -376,6 +376,62 @@ def rule_fi003_names(spark, d):
     return h.join(c, ["site_id", "url"], "left_semi").groupBy("site_id", "url").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _typed(*names: str) -> str:
+    return f"regexp_matches(ty, '(^| )({'|'.join(names)})( |$)')"
+
+
+_OWN_IMP = _IMP.replace(_NPATH, _PATH)
+_DEF = r"(?i)\b(?:is|are|was|were)\s+(?:a|an|the|one of|india''s|the world''s|our|your|\w+''s)\b|\b(?:provides?|offers?|helps?|enables?|delivers?|specialis[ez]es?|builds?|makes?|sells?|lets you|allows you)\b"
+_TEXT_DATE = "((january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec))"
+_DATED = f"""regexp_matches(tm, '\\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\b') OR regexp_matches(lower(tm), '\\b[0-9]{{1,2}}\\s+{_TEXT_DATE}[.]?,?\\s+[0-9]{{4}}\\b|\\b{_TEXT_DATE}[.]?\\s+[0-9]{{1,2}}(st|nd|rd|th)?,?\\s+[0-9]{{4}}\\b')
+  OR regexp_matches(tm, '\\b((1[3-9]|2[0-9]|3[01])/[01]?[0-9]|[01]?[0-9]/(1[3-9]|2[0-9]|3[01]))/[0-9]{{4}}\\b')"""
+_NOW = ("latest", "current", "currently", "today", "this week", "this month", "right now", "as of", "up to date", "up-to-date", "newest", "just launched", "today''s", "updated daily", "last updated", "most recent")
+
+
+@query("rule_fi005_undated_claims", f"""WITH {_NODES},
+d AS (SELECT DISTINCT page_id FROM nodes WHERE {" OR ".join(f"(json_type(v, '$.{k}') = 'VARCHAR' AND regexp_matches(v->>'$.{k}', '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))" for k in ("dateModified", "datePublished", "uploadDate", "dateCreated"))})
+SELECT c.site_id, c.fu AS url, CASE WHEN coalesce(headers['last-modified'], '') <> '' THEN 'weak' ELSE 'undated' END AS kind FROM {_CONTENT} c JOIN site s USING (site_id)
+WHERE (contains(tm, strftime(s.as_of, '%Y')) OR {" OR ".join(f"contains(lower(tm), '{x}')" for x in _NOW)}) AND page_id NOT IN (SELECT page_id FROM d)
+  AND NOT ({" OR ".join(f"regexp_matches(coalesce(meta['{k}'], ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')" for k in ("article:modified_time", "article:published_time", "date", "dc.date", "last-modified"))}) AND NOT ({_DATED})""")
+def rule_fi005(spark, d):
+    return rules.fi005(audit(spark, d)).select("site_id", "url", "kind")
+
+
+@query("rule_ax002_orientation", f"""WITH {_NODES},
+told AS (SELECT page_id, arg_min(v->>'$.description', (i, id)) de FROM nodes WHERE json_type(v, '$.description') = 'VARCHAR' AND len(regexp_extract_all(lower(v->>'$.description'), {_W})) >= 12 GROUP BY page_id),
+o AS (SELECT c.*, coalesce(nullif(meta['description'], ''), nullif(meta['og:description'], ''), de, '') des, array_to_string(list_filter(string_split_regex(tm, '\\s+'), lambda w: w <> '')[1:120], ' ') opening, p.lang FROM {_CONTENT} c LEFT JOIN told USING (page_id) JOIN (SELECT page_id, any_value(lower(coalesce(lang, ''))) lang FROM page GROUP BY page_id) p USING (page_id))
+SELECT site_id, fu AS url, CASE WHEN regexp_matches(des, '{_DEF}') THEN 'meta' ELSE 'gap' END AS kind FROM o
+WHERE wm >= 40 AND (coalesce(depth, 1) = 0 OR path IN ('', '/') OR {_OWN_IMP} >= 8) AND NOT regexp_matches(path, '{V.LISTING_PATH}') AND NOT regexp_matches(opening, '{_DEF}') AND NOT (lang <> '' AND NOT starts_with(lang, 'en') AND coalesce(meta['description'], '') <> '')""")
+def rule_ax002(spark, d):
+    return rules.ax002(audit(spark, d)).select("site_id", "url", "kind")
+
+
+_O_ENTITY = _typed("organization", "localbusiness", "corporation", "website", "onlinestore", "store")
+_O_HOME = f"(SELECT site_id, arg_min(page_id, (CASE WHEN depth = 0 OR {_PATH} IN ('', '/') THEN 0 ELSE 1 END) * 1000000 + page_ord) home FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY site_id)"
+_ASKS = ("faq", "frequently asked", "how do i", "how to", "what is", "can i ", "do you ", "?")
+
+
+@query("opportunities_by_kind", f"""WITH {_NODES}, ent AS (SELECT DISTINCT site_id FROM typed WHERE {_O_ENTITY}), hp AS (SELECT site_id, home FROM {_O_HOME} h),
+same AS (SELECT DISTINCT site_id FROM typed WHERE {_O_ENTITY} AND (json_type(v, '$.sameAs') = 'VARCHAR' OR (json_type(v, '$.sameAs') = 'ARRAY' AND json_array_length(v, '$.sameAs') > 0))),
+decl AS (SELECT DISTINCT site_id FROM typed WHERE {_ENTITY_TYPE} AND ((json_type(v, '$.sameAs') = 'VARCHAR' AND starts_with(trim(v->>'$.sameAs'), 'http')) OR (json_type(v, '$.sameAs') = 'ARRAY' AND len(list_filter(v->>'$.sameAs[*]', lambda x: starts_with(trim(x), 'http'))) > 0) OR starts_with(v->>'$.identifier', 'http'))),
+c AS (SELECT * FROM {_CONTENT} c), maps AS (SELECT site_id, count(DISTINCT u) n FROM (SELECT site_id, {sql_norm('loc')} u FROM sitemap_entry) WHERE u <> '' GROUP BY site_id)
+SELECT site_id, 'external_identifiers' AS kind FROM hp WHERE site_id IN (FROM ent) AND site_id NOT IN (FROM decl)
+UNION ALL SELECT site_id, 'same_as' FROM hp WHERE site_id IN (FROM ent) AND site_id NOT IN (FROM same)
+UNION ALL SELECT site_id, 'sitemap_absent' FROM site WHERE coalesce(crawl_scope, 'site') = 'site' AND sitemap_status IN ('absent', 'unreachable', 'invalid', 'empty')
+UNION ALL SELECT DISTINCT site_id, 'faq_markup' FROM c WHERE {" + ".join(f"contains(lower(tm), '{x}')::INT" for x in _ASKS)} >= 2 AND len(regexp_extract_all(tm, '[?]')) >= 3 AND site_id NOT IN (SELECT site_id FROM typed WHERE {_typed('faqpage', 'qapage', 'howto')})
+UNION ALL SELECT site_id, 'breadcrumbs' FROM c WHERE depth >= 2 AND site_id NOT IN (SELECT site_id FROM typed WHERE {_typed('breadcrumblist')}) GROUP BY site_id HAVING count(*) >= 2
+UNION ALL SELECT site_id, 'passage_structure' FROM c WHERE wm >= 400 AND len(list_filter(coalesce(headings, []), lambda h: h.level IN (2, 3))) < 2 GROUP BY site_id HAVING count(*) >= 2
+UNION ALL SELECT site_id, 'entity_summary' FROM hp WHERE home NOT IN (SELECT page_id FROM typed WHERE {_O_ENTITY} AND json_type(v, '$.description') = 'VARCHAR' AND len(regexp_extract_all(lower(v->>'$.description'), {_W})) >= 12)
+UNION ALL SELECT s.site_id, 'sitemap_lastmod' FROM site s LEFT JOIN maps ON maps.site_id = s.site_id WHERE sitemap_status = 'ok' AND coalesce(sitemap_lastmod_count, 0) < greatest(1, floor(coalesce(n, 0) / 2))
+UNION ALL SELECT site_id, 'product_markup' FROM c WHERE len({_SEEN}) > 0 AND page_id NOT IN (SELECT page_id FROM typed WHERE {_typed('product', 'offer', 'aggregateoffer', 'service')}) GROUP BY site_id HAVING count(*) >= 2""")
+def opportunities_by_kind(spark, d):
+    """Opportunities as if no rule had fired."""
+    from .plans.opportunities import opportunities
+
+    none = spark.createDataFrame([], "site_id long, rule string")
+    return opportunities(audit(spark, d), none).select("site_id", "kind")
+
+
 @query("audit_scope_and_status", f"""WITH n AS (SELECT p.site_id, count(*) FILTER (status BETWEEN 200 AND 299 AND (contains({_CT}, 'html') OR ({_CT} = '' AND (title <> '' OR tm <> '')))) readable FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY p.site_id),
 f AS (SELECT DISTINCT site_id FROM fetch_failure)
 SELECT s.site_id, CASE WHEN coalesce(readable, 0) = 0 THEN 'inconclusive' WHEN coalesce(crawl_scope, 'site') = 'page' THEN 'complete' WHEN coalesce(readable, 0) < 3 OR len(coalesce(limitations, [])) > 0 OR f.site_id IS NOT NULL THEN 'partial' ELSE 'complete' END AS status
