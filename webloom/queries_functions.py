@@ -221,7 +221,14 @@ def t12_pages(spark, d):
     return pages(spark, d, "text_main").select("page_id", F.array_join(F.transform(found, lambda v: v.cast("string")), " ").alias("dates"))
 
 
-@query("t13_find_prices_pages")
+_AMOUNT = "CAST(regexp_replace(x, '[^0-9.]', '', 'g') AS DOUBLE)"
+
+
+@query(
+    "t13_find_prices_pages",
+    r"""SELECT page_id, array_to_string(list_transform(list_filter(regexp_extract_all(coalesce(tm, ''), '(?i)(?:₹|rs\.?|inr|\$|usd|us\$|€|eur|£|gbp|¥|jpy|aud|cad)\s?(\d{1,3}(?:[,\x{202f}\s]\d{2,3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)', 1), lambda x: len(regexp_extract_all(x, '[.]')) <= 1),
+    lambda x: CASE WHEN AMOUNT = floor(AMOUNT) THEN printf('%.0f', AMOUNT) ELSE regexp_replace(printf('%.2f', AMOUNT), '0+$', '') END), ' ') AS prices FROM """.replace("\\\\", "\\").replace("AMOUNT", _AMOUNT) + _ONE + " p",
+)
 def t13_pages(spark, d):
     return pages(spark, d, "text_main").select("page_id", F.array_join(T.find_prices("text_main"), " ").alias("prices"))
 
@@ -356,6 +363,21 @@ def u07(spark, d):
     return u.select("i", U.normalize_url("s").alias("norm"), U.domain_label("s").alias("label"), F.array_join(U.hostname_variants("s"), " ").alias("variant"))
 
 
+_SITE_HOST = "regexp_replace(regexp_replace(lower(regexp_extract(root_url, '//([^/?#]*)', 1)), ':.*$', ''), '^www[.]', '')"
+_TWO = ", ".join(f"'{x}'" for x in ("co.uk", "org.uk", "co.jp", "com.au", "com.br", "co.in", "co.nz", "co.za"))
+
+
+@query(
+    "u07_site_labels",
+    f"""WITH h AS (SELECT site_id, root_url, lower(regexp_extract(root_url, '//([^/?#]*)', 1)) net, string_split({_SITE_HOST}, '.') p FROM site)
+    SELECT site_id, CASE WHEN len(p) < 2 THEN p[1] WHEN len(p) >= 3 AND p[-2] || '.' || p[-1] IN ({_TWO}) THEN p[-3] ELSE p[-2] END AS label,
+    CASE WHEN starts_with(net, 'www.') THEN regexp_extract(lower(root_url), '^([a-z]+)://', 1) || '://' || net[5:] || '/' WHEN contains(net, '.') THEN regexp_extract(lower(root_url), '^([a-z]+)://', 1) || '://www.' || net || '/' ELSE '' END AS variant FROM h""",
+)
+def u07_sites(spark, d):
+    """The brand label of every site's host, and the other form of the host."""
+    return load(spark, d, "site").select("site_id", U.domain_label("root_url").alias("label"), F.array_join(U.hostname_variants("root_url"), " ").alias("variant"))
+
+
 _VAR = [("http://a.test/v1/x", "http://a.test/v2/x", True), ("http://a.test/en/x", "http://a.test/fr/x", True), ("http://a.test/x", "http://a.test/y", False), ("http://a.test/x", "http://www.a.test/x/", False), ("http://a.test/en/x", "http://a.test/x", True), ("http://a.test/latest/x", "http://a.test/3.1/x", True)]
 _TRIV = [False, False, False, True, False, False]
 

@@ -432,6 +432,16 @@ def opportunities_by_kind(spark, d):
     return opportunities(audit(spark, d), none).select("site_id", "kind")
 
 
+@query("rule_mr005_empty_documents", f"""WITH b AS (SELECT page_id, arg_max(body, (fetched_at, body)) b FROM capture WHERE length(body) > 0 AND page_id IS NOT NULL GROUP BY page_id)
+SELECT site_id, fu AS url, wm AS words FROM {_CONTENT} c JOIN b USING (page_id) WHERE wm < 120 AND NOT regexp_matches(path, '{V.LOW_TEXT_PATH}')
+  AND (regexp_matches(b, '<div id="(root|app|__next|__nuxt|svelte|main-app)"></div>'))
+  AND len(regexp_extract_all(lower(array_to_string(regexp_extract_all(b, '(?s)<noscript>(.*?)</noscript>', 1), ' ')), {_W})) < 40""")
+def rule_mr005(spark, d):
+    """Documents with an empty application root and almost no text."""
+    h = rules.mr005(audit(spark, d, True)).where("kind <> 'note'")
+    return h.select("site_id", "url", F.col("x").cast("int").alias("words"))
+
+
 @query("audit_scope_and_status", f"""WITH n AS (SELECT p.site_id, count(*) FILTER (status BETWEEN 200 AND 299 AND (contains({_CT}, 'html') OR ({_CT} = '' AND (title <> '' OR tm <> '')))) readable FROM {_ONE} p JOIN (SELECT DISTINCT site_id FROM site) USING (site_id) GROUP BY p.site_id),
 f AS (SELECT DISTINCT site_id FROM fetch_failure)
 SELECT s.site_id, CASE WHEN coalesce(readable, 0) = 0 THEN 'inconclusive' WHEN coalesce(crawl_scope, 'site') = 'page' THEN 'complete' WHEN coalesce(readable, 0) < 3 OR len(coalesce(limitations, [])) > 0 OR f.site_id IS NOT NULL THEN 'partial' ELSE 'complete' END AS status
@@ -615,6 +625,16 @@ def rule_fi001(spark, d):
     return h.groupBy("site_id", src.alias("sources")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query("rule_ex004_domain_and_name", f"""WITH {_NAMES}, g AS (SELECT site_id, norm, count(*) n, min(o) f FROM named GROUP BY site_id, norm), top AS (SELECT site_id, norm FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, f, norm) rk FROM g) WHERE rk = 1),
+bridge AS (SELECT DISTINCT site_id FROM typed WHERE ({_typed('organization', 'localbusiness')} AND json_type(v, '$.url') = 'VARCHAR' AND v->>'$.url' <> '') OR ({_ENTITY_TYPE} AND json_type(v, '$.sameAs') IS NOT NULL AND v->>'$.sameAs' NOT IN ('', '[]', 'null'))),
+l AS (SELECT site_id, string_split(regexp_replace(regexp_replace(lower(regexp_extract(root_url, '//([^/?#]*)', 1)), ':.*$', ''), '^www[.]', ''), '.') p FROM site), k AS (SELECT site_id, CASE WHEN len(p) < 2 THEN p[1] ELSE p[-2] END label, {_NORM.format('CASE WHEN len(p) < 2 THEN p[1] ELSE p[-2] END')} ln FROM l)
+SELECT k.site_id, label, norm AS name FROM top JOIN k ON k.site_id = top.site_id WHERE label <> '' AND NOT {_sql_compatible('norm', 'ln')} AND NOT contains(replace(norm, ' ', ''), label) AND k.site_id NOT IN (FROM bridge)""")
+def rule_ex004(spark, d):
+    a = audit(spark, d)
+    n = rules.published_names(a).where("rk = 1").select("site_id", F.col("norm").alias("name"))
+    return rules.ex004(a).join(n, "site_id").select("site_id", F.regexp_extract("measurement", '^domain "([^"]*)"', 1).alias("label"), "name")
+
+
 @query("references_declared")
 def references_declared(spark, d):
     return rules.declared_references(audit(spark, d, True)).select("site_id", "url", "source")
