@@ -63,8 +63,11 @@ def test_robots_details(spark):
 def test_sitemap_status(spark):
     x = "<urlset><url><loc>http://a.test/</loc></url></urlset>"
     a = spark.createDataFrame([(1, 404, ""), (1, 200, x), (2, 200, "<urlset/>"), (3, 200, "text"), (4, 500, None), (5, 404, None), (6, None, None)], "site_id int, status int, xml string")
-    got = {r.site_id: r.sitemap_status for r in SM.sitemap_status(a).collect()}
-    assert got == {1: "ok", 2: "empty", 3: "invalid", 4: "unreachable", 5: "absent", 6: "unreachable"}
+    a = a.union(spark.createDataFrame([(8, 200, "<urlset><url><loc>ftp://a.test/</loc></url></urlset>")], a.schema))
+    sites = spark.createDataFrame([(1,), (7,)], "site_id int")
+    got = {r.site_id: r.sitemap_status for r in SM.sitemap_status(a, sites).collect()}
+    # A document without locations is invalid, one not served unreachable; only a site never asked has none.
+    assert got == {1: "ok", 2: "invalid", 3: "invalid", 4: "unreachable", 5: "unreachable", 6: "unreachable", 7: "absent", 8: "empty"}
 
 
 def test_queue_takes_turns(spark):
