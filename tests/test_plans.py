@@ -99,6 +99,15 @@ def test_unreadable_site_is_inconclusive(spark):
     assert r.findings.count() == 0 and r.status.first().status == "inconclusive"
 
 
+def test_orders_of_large_sites(spark):
+    """Places on a site are multiples of a page's order, which leave an int's range on large sites."""
+    a, b = (V.from_html(spark, {1: healthy(), 2: broken()}) for _ in range(2))
+    b.page = b.page.withColumn("page_ord", F.col("page_ord") + 300_000_000)
+    for f, step in ((lambda x: rules.mr009(x).withColumnRenamed("ord", "o"), 100_000), (lambda x: rules.name_candidates(x).withColumnRenamed("ord", "o"), 8), (lambda x: rules.declared_references(x).withColumnRenamed("ord", "o"), 1000)):
+        first, later = ([(r.site_id, r.url, r.o) for r in f(x).where("o < 1099511627776 OR o > 10000000000000").orderBy("o", "site_id", "url").collect()] for x in (a, b))
+        assert first and later == [(s, u, o + 300_000_000 * step) for s, u, o in first]
+
+
 def test_skill_runs_only_its_rules(spark):
     f = report.run_skill(V.from_html(spark, {2: broken()}), "external-evidence")
     assert {r.rule for r in f.collect()} <= {r for r in rules.RULES if r.startswith("EX")}
