@@ -119,6 +119,22 @@ def test_merkle_identities():
     assert [(path, o) for path, *_, o, _ in a][:4] == [("$", 0), ("$.x", 0), ("$.x.q", 1), ("$.x.q[1]", 1)]
 
 
+def test_found_objects_are_stored_ones(spark, tmp_path, monkeypatch):
+    """p7_found works out identities and lists the occurrences of the objects stored under them, each place once."""
+    from webloom import queries
+
+    rows = [(1, ['{"a": {"x": 1}, "b": [{"x": 1}, {"y": []}], "c": {"x": 1}, "c": {"x": 2}}', "{broken"], {"m": '[{"x": 1}]'}), (2, ['{"x": 1}'], None), (2, ['{"x": 1}'], None)]
+    spark.createDataFrame(rows, "page_id long, jsonld array<string>, meta map<string,string>").write.parquet(str(tmp_path / "page.parquet"))
+    made, objects = [], nested.objects
+    monkeypatch.setattr(nested, "objects", lambda bridge: made.append(objects(bridge)) or made[-1])
+    got = sorted(tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect())
+    here = [("$", ""), ("$.a", "$"), ("$.b[0]", "$"), ("$.b[1]", "$"), ("$.c", "$")]
+    assert got == [(1, "jsonld", "0", *x) for x in here] + [(1, "meta", "m", "$[0]", ""), (2, "jsonld", "0", "$", "")]
+    (stored,) = made
+    n = {r.canon: r.n_occurrences for r in stored.where("kind = 'object'").collect()}
+    assert n['{"object":[["x","n","1"]]}'] == 5 and len(n) == 4 and stored.where("node_hash IS NULL").count() == 0
+
+
 def tables(p):
     bridge = nested.flatten_json(p)
     stored = nested.objects(bridge)

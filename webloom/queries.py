@@ -105,11 +105,10 @@ FROM up
 
 @query("p7_found", _P7_SQL)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        nested.flatten_json(load(spark, d, "page"), canonical=False).where("kind = 'object'")
-        .select("page_id", "field_name", "item_key", "node_path", "parent_path")
-        .distinct()
-    )
+    """The places of every stored object: occurrences come by the identity of what occurs there."""
+    bridge = shared_table(nested.flatten_json(load(spark, d, "page")), "bridge")
+    stored = nested.objects(bridge).where("kind = 'object'").select("node_hash")
+    return bridge.join(stored, "node_hash", "left_semi").select("page_id", "field_name", "item_key", "node_path", "parent_path").distinct()
 
 
 # The tree of every text, containers with their minified text (the tables' equal objects list members in one order).
