@@ -108,6 +108,27 @@ def test_orders_of_large_sites(spark):
         assert first and later == [(s, u, o + 300_000_000 * step) for s, u, o in first]
 
 
+def test_nothing_is_cut_before_it_is_judged(spark):
+    """The home page among later referrers, untitled core pages after three others, more disallowed addresses than 40."""
+    root, bare = "http://many.test", "<html><head><title></title></head><body><h1>x</h1><p>A few words.</p><a href='/gone'>The old list</a></body></html>"
+    titled = bare.replace("<title>", "<title>Start of all")
+    site = {
+        "root": root + "/", "robots_text": "User-agent: *\nDisallow: /shut/", "sitemap": [f"/shut/{i:02}" for i in range(45)],
+        "pages": {"/start": titled, "/a": bare, "/b": bare, "/c": bare, "/pricing": bare},
+        "failures": [{"url": "/gone", "status": 404}], "link_checks": [{"url": "/dead", "status": 410, "referrers": [root + x for x in ("/a", "/b", "/c", "/start", "/pricing")]}],
+    }
+    a = V.from_html(spark, {1: site})
+    assert {(r.url_norm[len(root) :], r.rk, r.referrer[len(root) :]) for r in rules.broken_targets(a).collect()} == {
+        (u, i + 1, x) for u, refs in (("/gone", ("/a", "/b", "/c", "/pricing", "/start")), ("/dead", ("/a", "/b", "/c", "/start", "/pricing"))) for i, x in enumerate(refs)
+    }
+    told = f"linked from {root}/a, {root}/b, {root}/c and 2 more"
+    assert {(r.url, r.kind, r.measurement) for r in rules.mr003(a).collect()} == {(root + "/gone", "home", "status 404, " + told), (root + "/dead", "home", "status 410, " + told)}
+    f = {r.rule: r for r in rules.findings(a, ["MR-001", "MR-003", "MR-007"])[0].collect()}
+    assert (f["MR-003"].severity, f["MR-003"].n_hits) == ("high", 2)
+    assert (f["MR-001"].severity, f["MR-001"].n_hits, f["MR-001"].n_urls, len(f["MR-001"].affected_urls)) == ("high", 45, 45, 25)
+    assert (f["MR-007"].severity, f["MR-007"].core_page_affected, f["MR-007"].n_hits, len(f["MR-007"].evidence)) == ("high", True, 4, 3)
+
+
 def test_skill_runs_only_its_rules(spark):
     f = report.run_skill(V.from_html(spark, {2: broken()}), "external-evidence")
     assert {r.rule for r in f.collect()} <= {r for r in rules.RULES if r.startswith("EX")}
